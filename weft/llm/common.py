@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one step inside a Python task holds at a time (a longer text makes a step of its own).
-CHARS_PER_STEP = 1_500_000
+CHARS_PER_STEP = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,14 +76,20 @@ class Cache:
     def all_of(self, keys: list, resolve) -> list:
         """The value of each key; resolve(list of distinct unknown keys) gives the values of those."""
         got = list(map(self.new.get, keys))
-        if None in got:
-            miss = {k for k, v in zip(keys, got) if v is None}
-            old = self.old
-            known = {k: old[k] for k in miss if k in old}
-            fresh = [k for k in miss if k not in known]
+        at = [i for i, v in enumerate(got) if v is None]
+        if at:
+            old, known, miss = self.old, {}, {keys[i] for i in at}
+            fresh = []
+            for k in miss:
+                v = old.get(k)
+                if v is None:
+                    fresh.append(k)
+                else:
+                    known[k] = v
             known.update(zip(fresh, resolve(fresh)))
             if len(self.new) + len(known) > self.size:
                 self.old, self.new = self.new, {}
             self.new.update(known)
-            got = [known[k] if v is None else v for k, v in zip(keys, got)]
+            for i in at:
+                got[i] = known[keys[i]]
         return got

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup
+import public_tokenizers
+
+from weft.llm import bpe, exact_dedup, token_counts
 from weft.llm.common import table
 
 QUERIES: dict = {
+    "op2_bpe": lambda spark, sf_dir: bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(table(spark, sf_dir, "documents")),
+    "op10_token_counts": lambda spark, sf_dir: token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
 }
 
 ORACLES: dict[str, str] = {
