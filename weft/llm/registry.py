@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weft.llm import bpe, exact_dedup, simhash, token_counts, toxicity
+from weft.llm import bpe, exact_dedup, packing, simhash, token_counts, toxicity
 from weft.llm.common import table
 
 QUERIES: dict = {
     "op2_bpe": lambda spark, sf_dir: bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(table(spark, sf_dir, "documents")),
+    "op6_packing": lambda spark, sf_dir: packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False),
     "op8_simhash": lambda spark, sf_dir: simhash.near_groups(table(spark, sf_dir, "documents")),
     "op9_toxicity": lambda spark, sf_dir: toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_token_counts": lambda spark, sf_dir: token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
