@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Cache, shared_dir, spread, steps, text_rows
+from weft.llm.common import Cache, fresh_path, spread, steps, text_rows
 
 LENGTH, END = 4096, 2
 #: Ranges are made so many that one holds about this much; never fewer than shuffle partitions.
@@ -180,7 +180,7 @@ def packed(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     number of ranges, so ranges are about even however the documents lie; each task streams one range.
     """
     spark = docs.sparkSession
-    path_to = f"{shared_dir(spark)}/packing-{spark.sparkContext.applicationId}-{id(docs)}-{np.random.default_rng().integers(1 << 62)}"
+    path_to = fresh_path(spark, "packing")
     tokenized(docs, path).write.parquet(path_to)
     rows = spark.read.parquet(path_to)
     n, size = rows.select(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
