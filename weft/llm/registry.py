@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weft.llm import bpe, exact_dedup, packing, simhash, token_counts, topk, toxicity, warc
+from weft.llm import bpe, exact_dedup, packing, pii, simhash, suffix_tree, token_counts, topk, toxicity, warc
 from weft.llm.common import table
 
 QUERIES: dict = {
     "op1_warc": lambda spark, sf_dir: warc.round_trip(table(spark, sf_dir, "pages")),
     "op2_bpe": lambda spark, sf_dir: bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+    "op3_suffix_tree": lambda spark, sf_dir: suffix_tree.scored(table(spark, sf_dir, "documents")),
     "op4_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(table(spark, sf_dir, "documents")),
+    "op5_pii": lambda spark, sf_dir: pii.span_digests(table(spark, sf_dir, "documents")),
     "op6_packing": lambda spark, sf_dir: packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False),
     "op7_topk": lambda spark, sf_dir: topk.top_k(table(spark, sf_dir, "embeddings")),
     "op8_simhash": lambda spark, sf_dir: simhash.near_groups(table(spark, sf_dir, "documents")),
