@@ -99,3 +99,28 @@ class Cache:
             for i in at:
                 got[i] = known[keys[i]]
         return got
+
+
+#: Up to so many ids are broadcast to leave rows out; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is not among those of gone."""
+    gone = cut(gone.select(F.col("doc_id").alias("gone_id")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def row_filter(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs, with all their columns, for whose texts keep(texts) is true; null texts are given as empty."""
+    at, rows = docs.columns.index("text"), docs.withColumn("text", docs["text"].cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield part.filter(pa.array(keep([x or "" for x in part.column(at).to_pylist()]), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, text_rows
+from weft.llm.common import cut, text_rows, without
 
 #: A run of white space, unless it is one space already.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -60,9 +60,8 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = content_h
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, with all their columns. Rows with equal ids share their fate."""
+    return without(docs, exact_groups(docs).where("not kept"))
 
 
 ORACLE = r"""

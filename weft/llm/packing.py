@@ -170,7 +170,7 @@ def stream(rows: Iterator[tuple[int, bytes, int]], with_ids: bool) -> Iterator[l
 
 def finish(doc: int, start: int, n: int, raw: bytes, total: int, sequence: int, offset: int, with_ids: bool) -> tuple:
     ids = np.frombuffer(raw, "<u2", n, start * 2).astype("<u4")
-    return doc, start, n, ids if with_ids else zlib.crc32(ids.tobytes()), total, sequence, offset
+    return doc, start, n, ids.view(np.int32) if with_ids else zlib.crc32(ids.tobytes()), total, sequence, offset
 
 
 def packed(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -195,9 +195,9 @@ def packed(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], ["doc_id", "ids", "place", "part"])
 
     dealt = rows.mapInArrow(deal, "doc_id long, ids binary, place long, part int")
-    kind, name = ("array<long>", "ids") if with_ids else ("long", "ids_crc32")
+    kind, name = ("array<int>", "ids") if with_ids else ("long", "ids_crc32")
     names = ["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"]
-    types = [pa.int64()] * 3 + [pa.list_(pa.int64()) if with_ids else pa.int64()] + [pa.int64()] * 3
+    types = [pa.int64()] * 3 + [pa.list_(pa.int32()) if with_ids else pa.int64()] + [pa.int64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))

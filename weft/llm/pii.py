@@ -272,9 +272,10 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns, personal data in text replaced; null texts stay null."""
+    """The documents with all their columns, personal data in text replaced (n_chars follows); null texts stay null."""
     trees = docs.sparkSession.sparkContext.broadcast(model())
     names, at = docs.columns, docs.columns.index("text")
+    rows = spread(docs.withColumn("text", docs["text"].cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,4 +287,5 @@ def redacted(docs: DataFrame) -> DataFrame:
                 clean = [None if null else redact(x, sorted(s + m)) for x, s, m, null in zip(texts, base, more, part.column(at).is_null().to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(part.columns)], names)
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    out = rows.mapInArrow(run, rows.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in names else out

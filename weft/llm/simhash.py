@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import components
-from weft.llm.common import cut, spread, steps, text_rows
+from weft.llm.common import cut, spread, steps, text_rows, without
 
 #: Members of one look-up value that are compared at a time. A value with more is cut into blocks of about this many,
 #: and every two blocks are compared, so no limit drops a candidate.
@@ -157,5 +157,4 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component stays, that with the smallest id, with all its columns."""
-    gone = near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_groups(docs).where("doc_id <> component_id"))
