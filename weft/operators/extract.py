@@ -74,9 +74,15 @@ def indented_ends(lines: DataFrame) -> DataFrame:
     return later.join(last, "path").join(before, ["path", "stop"], "left").select("path", "line", F.coalesce("previous", "last").alias("end_line"))
 
 
+def stripped(text: Column) -> Column:
+    """A line without its strings and the comments that end on it."""
+    return F.regexp_replace(text, r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|/\*.*?\*/|//.*$""", "")
+
+
 def brace_depth(lines: DataFrame) -> DataFrame:
-    """Lines with the depth of braces after them."""
-    balance = F.char_length(F.regexp_replace("text", "[^{]", "")) - F.char_length(F.regexp_replace("text", "[^}]", ""))
+    """Lines with the depth of braces after them; strings and comments do not count."""
+    bare = stripped(F.col("text"))
+    balance = F.char_length(F.regexp_replace(bare, "[^{]", "")) - F.char_length(F.regexp_replace(bare, "[^}]", ""))
     return lines.withColumn("depth", F.sum(balance).over(Window.partitionBy("path").orderBy("line")))
 
 

@@ -32,7 +32,7 @@ def slugs(wanted: list[str] | None = None) -> list[str]:
 
 def edge_rows(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None = None, most: int = SHOWN) -> DataFrame:
     """The first edges with the display names of their ends."""
-    picked = (edges.where(F.col("relation_type").isin(kinds)) if kinds else edges).orderBy("edge_id").limit(most)
+    picked = (edges.where(F.col("relation_type").isin(kinds)) if kinds else edges).orderBy("edge_id", "from_node_id", "to_node_id").limit(most)
     name = lambda c: nodes.select(F.col("node_id").alias(f"{c}_node_id"), F.col("name").alias(f"{c}_name"))
     return picked.join(name("from"), "from_node_id").join(name("to"), "to_node_id").select("edge_id", "relation_type", "from_name", "to_name")
 
