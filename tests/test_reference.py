@@ -19,7 +19,7 @@ from weft.operators import qa as Q
 from weft.operators import retrieval as R
 from weft.operators import validate as V
 from weft.operators import wiki as W
-from weft.plans import diagrams, files, graph, operations, registry, retrieval  # noqa: F401
+from weft.plans import diagrams, files, graph, more, operations, registry, retrieval  # noqa: F401
 from weft.sources import tables as S
 from weft.streaming import jobs
 

@@ -152,3 +152,43 @@ def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for other in (loose("to_node_id"), twice(nodes, "node_id"), twice(edges, "edge_id")):
         out = out.crossJoin(F.broadcast(other))
     return out
+
+
+def facts(relations: DataFrame) -> DataFrame:
+    """Edges of resolved relations by status: RESOLVED to its target, EXTERNAL to an external node, AMBIGUOUS to an issue
+    and from it to each candidate, UNRESOLVED to an issue."""
+    source, issue = stable_id("node", F.col("from_ref")), stable_id("issue", F.col("relation_id"))
+    row = lambda where, kind, a, b, *parts: where.select(stable_id("edge", *parts).alias("edge_id"), kind.alias("relation_type"), a.alias("from_node_id"), b.alias("to_node_id"), "confidence")
+    rid, status = F.col("relation_id"), F.col("status")
+    known = row(relations.where(status == "RESOLVED"), F.col("kind"), source, stable_id("node", F.col("target")), rid)
+    outside = row(relations.where(status == "EXTERNAL"), F.col("kind"), source, stable_id("external", F.col("to_ref")), rid)
+    unsure = row(relations.where(status.isin("AMBIGUOUS", ISSUE)), F.lit("UNCERTAIN_RELATION"), source, issue, rid)
+    each = relations.where(status == "AMBIGUOUS").select("relation_id", "confidence", F.explode("candidates").alias("candidate"))
+    possible = row(each, F.lit("POSSIBLE_TARGET"), issue, stable_id("node", F.col("candidate")), rid, F.col("candidate"))
+    return known.unionByName(outside).unionByName(unsure).unionByName(possible)
+
+
+def external_nodes(relations: DataFrame) -> DataFrame:
+    """One node for each external reference."""
+    return relations.where("status = 'EXTERNAL'").select("to_ref").distinct().select(stable_id("external", F.col("to_ref")).alias("node_id"), F.col("to_ref").alias("external_identity"))
+
+
+def symbol(nodes: DataFrame, artifact: str) -> DataFrame:
+    """The node of one artifact."""
+    return nodes.where((F.col("artifact_id") == artifact) & (F.col("entity_type") != ISSUE)).limit(1)
+
+
+def node_rows(rows: DataFrame) -> DataFrame:
+    """Stored rows as nodes: attributes out of their JSON, an external identity among them."""
+    attributes = F.coalesce(F.from_json("attributes_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    more = F.when(F.col("external_identity").isNotNull(), F.create_map(F.lit("external_identity"), F.col("external_identity"))).otherwise(F.create_map().cast("map<string,string>"))
+    return rows.withColumn("properties", F.map_concat(attributes, more)).drop("attributes_json")
+
+
+def strict_problems(artifacts: DataFrame, relations: DataFrame, commit: str) -> DataFrame:
+    """One row of what a strict build refuses: repeated ids, other commits, missing sources, confidences out of range."""
+    twice = lambda df, c: df.groupBy(c).count().where("count > 1").agg(F.count("*").alias(f"repeated_{c}"))
+    out = twice(artifacts, "artifact_id").crossJoin(F.broadcast(twice(relations, "relation_id")))
+    out = out.crossJoin(F.broadcast(artifacts.agg(F.count_if(~F.col("commit_sha").eqNullSafe(commit)).alias("other_commit"))))
+    out = out.crossJoin(F.broadcast(missing_sources(relations, artifacts).agg(F.count("*").alias("missing_source"))))
+    return out.crossJoin(F.broadcast(relations.agg(F.count_if(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).alias("bad_confidence"))))

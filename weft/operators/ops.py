@@ -117,3 +117,51 @@ def sessions(events: DataFrame, at: str, gap: str, keys: list[str], late: str =
     """Sessions of each key: rows less than a gap apart."""
     rows = events.withWatermark(at, late) if events.isStreaming else events
     return rows.groupBy(F.session_window(at, gap).alias("s"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("s.start").alias("start"), "n")
+
+
+#: Event types with the fields of their payloads, those that must be there, and those that may not be negative.
+SCHEMAS = {
+    "parse.completed.v1": (PARSE_COMPLETED, ["snapshot_id", "commit_sha"], ["artifact_count", "relation_count"]),
+    "parse.failed.v1": ("snapshot_id string, error_code string, retryable boolean", ["snapshot_id", "error_code"], []),
+    "graph.published.v1": ("snapshot_id string, graph_revision_id string, node_count long, edge_count long, quality_status string", ["snapshot_id", "graph_revision_id"], ["node_count", "edge_count"]),
+    "index.ready.v1": ("snapshot_id string, index_revision_id string, document_count long", ["snapshot_id", "index_revision_id"], ["document_count"]),
+    "wiki.published.v1": ("snapshot_id string, wiki_revision_id string, page_count long", ["snapshot_id", "wiki_revision_id"], ["page_count"]),
+    "qa.run.completed.v1": ("run_id string, citation_count long", ["run_id"], ["citation_count"]),
+    "proposal.applied.v1": ("proposal_id string, commit_sha string, file_count long", ["proposal_id", "commit_sha"], ["file_count"]),
+}
+
+
+def schema_problems(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """Events with the reason for which their payload does not conform to its type, or null; one pass, no split by type."""
+    keys = F.json_object_keys(F.col(payload))
+    reason = F.when(keys.isNull(), "invalid json")
+    for kind, (fields, required, counts) in SCHEMAS.items():
+        own = F.col("event_type") == kind
+        names = F.array(*(F.lit(f.split()[0]) for f in fields.split(",")))
+        reason = reason.when(own & (F.size(F.array_except(keys, names)) > 0), "unknown field")
+        for r in required:
+            reason = reason.when(own & (F.coalesce(F.get_json_object(payload, f"$.{r}"), F.lit("")) == ""), f"missing {r}")
+        for c in counts:
+            reason = reason.when(own & (F.expr(f"try_cast(get_json_object({payload}, '$.{c}') AS BIGINT)") < 0), f"negative {c}")
+    return events.withColumn("reason", F.when(~F.col("event_type").isin(*SCHEMAS), "unknown type").otherwise(reason))
+
+
+def payloads(rows: DataFrame, kind: str, ident: Column, **fields: Column) -> DataFrame:
+    """Events of a type with their payload as JSON; ids follow from the aggregate, so that they are the same each time."""
+    return rows.select(F.concat(F.lit(f"{kind}:"), ident.cast("string")).alias("event_id"), F.lit(kind).alias("event_type"), ident.cast("string").alias("aggregate_id"), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("payload"))
+
+
+def retried(jobs: DataFrame, most: int) -> DataFrame:
+    """Failed jobs that may be tried again, queued once more."""
+    return jobs.where((F.col("status") == "FAILED") & F.col("retryable") & (F.col("retry_count") < most)).withColumn("status", F.lit("QUEUED")).withColumn("retry_count", F.col("retry_count") + 1)
+
+
+def baseline_conflicts(results: DataFrame, latest: DataFrame, keys: list[str]) -> DataFrame:
+    """Results whose parent is not the latest snapshot any more. latest: keys, snapshot_id."""
+    now = latest.select(*keys, F.col("snapshot_id").alias("latest_id"))
+    return results.join(now, keys, "left").where(~F.col("parent_snapshot_id").eqNullSafe(F.col("latest_id")))
+
+
+def result_problem() -> Column:
+    """Why a job, its snapshot and their fields do not fit, or null."""
+    return F.when(F.col("job_status") != F.col("snapshot_status"), "status").when((F.col("job_status") == "SUCCEEDED") & (F.col("progress") != 100), "progress").when((F.col("job_status") == "FAILED") & (F.coalesce("error_code", F.lit("")) == ""), "error_code")

@@ -108,3 +108,12 @@ def model_output(text: Column, schema: str) -> Column:
 def prompt(nodes: Column, edges: Column, most: int = 40) -> Column:
     """A bounded JSON of nodes and edges for an external model."""
     return F.to_json(F.struct(F.slice(nodes, 1, most).alias("nodes"), F.slice(edges, 1, most).alias("edges")))
+
+
+def answer_text(rows: DataFrame, key: str, line: Column, order: list[str], most: int = 10) -> DataFrame:
+    """Structured answers: how many facts there are, and the first of them as numbered lines."""
+    numbered = rows.select(key, F.struct(*order).alias("o"), line.alias("line"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("o"))
+    first = numbered.withColumn("i", place).where(F.col("i") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: F.concat(x["i"].cast("string"), F.lit(". "), x["line"])), "\n").alias("lines"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("facts"))
+    return first.join(counts, key).select(key, F.concat(F.col("facts").cast("string"), F.lit(" facts\n"), F.col("lines")).alias("answer"))

@@ -67,3 +67,25 @@ def publication_conflicts(new: DataFrame, stored: DataFrame) -> DataFrame:
     old = stored.select("slug", F.col("snapshot_id").alias("old_snapshot"), F.col("content_hash").alias("old_hash"), F.col("revision_no").alias("old_no"))
     reason = F.when((F.col("snapshot_id") == F.col("old_snapshot")) & (F.col("content_hash") != F.col("old_hash")), "changed").when(F.col("revision_no") <= F.col("old_no"), "stale")
     return new.join(old, "slug").withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+def languages_and_paths(files: DataFrame, most: int = SHOWN) -> DataFrame:
+    """One row: distinct languages, and the first distinct paths; paths are cut to the first before they are gathered."""
+    languages = files.agg(F.array_sort(F.collect_set("language")).alias("languages"))
+    first = files.select("path").distinct().orderBy("path").limit(most).agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return languages.crossJoin(F.broadcast(first))
+
+
+def page_problems(generated: DataFrame, wanted: list[str], citations_at_hand: int) -> DataFrame:
+    """What is wrong with generated pages (slug, citation_indexes): unknown, repeated or missing slugs, indexes out of range."""
+    asked = generated.sparkSession.createDataFrame([(s,) for s in wanted], "slug string")
+    unknown = generated.join(asked, "slug", "left_anti").select("slug", F.lit("unknown").alias("problem"))
+    missing = asked.join(generated, "slug", "left_anti").select("slug", F.lit("missing").alias("problem"))
+    twice = generated.groupBy("slug").count().where("count > 1").select("slug", F.lit("repeated").alias("problem"))
+    cited = generated.where(F.exists("citation_indexes", lambda i: (i < 1) | (i > citations_at_hand)) | (F.size("citation_indexes") == 0)).select("slug", F.lit("citations").alias("problem"))
+    return unknown.union(missing).union(twice).union(cited)
+
+
+def totals(rows: DataFrame, key: str, citations_column: str, text: str) -> DataFrame:
+    """Citations and bytes of text of each key."""
+    return rows.groupBy(key).agg(F.sum(F.size(citations_column)).alias("citations"), F.sum(F.octet_length(text)).alias("bytes"))

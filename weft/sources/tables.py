@@ -43,3 +43,41 @@ def conflicts(rows: DataFrame, existing: DataFrame, key: str, fingerprint: str =
     """Rows whose key is there with another fingerprint."""
     old = existing.select(F.col(key).alias("old_key"), F.col(fingerprint).alias("old_fingerprint"))
     return rows.join(old, (F.col(key) == F.col("old_key")) & (F.col(fingerprint) != F.col("old_fingerprint"))).drop("old_key")
+
+
+def snapshot_files(spark: SparkSession, path: str) -> DataFrame:
+    """path (relative to the folder) and content of every file of a checked-out snapshot."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = path.split("://")[-1].rstrip("/") + "/"
+    return rows.select(F.substring_index("path", F.lit(root), -1).alias("path"), "content", F.col("length").alias("bytes"))
+
+
+def active(revisions: DataFrame, pointers: DataFrame, keys: list[str]) -> DataFrame:
+    """The revision that the pointer of each key names; a pointer without exactly one revision is in error."""
+    found = pointers.join(revisions.withColumnRenamed("revision_id", "stored_id"), keys, "left").where(F.col("stored_id").isNull() | (F.col("stored_id") == F.col("revision_id")))
+    return found.groupBy(*keys, "revision_id").agg(F.count("stored_id").alias("n")).withColumn("valid", F.col("n") == 1)
+
+
+def publish(rows: DataFrame, path: str, revision: str, content_hash: str) -> bool:
+    """Write an immutable revision and move the pointer to it; False if the pointer's content is the same already."""
+    spark = rows.sparkSession
+    pointer = f"{path}/pointer"
+    try:
+        if spark.read.json(pointer).where(F.col("content_hash") == content_hash).limit(1).count():
+            return False
+    except Exception as e:  # the first publication
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    rows.write.mode("errorifexists").parquet(f"{path}/revision={revision}")
+    spark.createDataFrame([(revision, content_hash)], "revision_id string, content_hash string").coalesce(1).write.mode("overwrite").json(pointer)
+    return True
+
+
+def export_json(rows: DataFrame, path: str) -> None:
+    """The rows as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add rows to an append-only table with the time of writing."""
+    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
