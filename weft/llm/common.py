@@ -50,11 +50,18 @@ def fold(ident: Column, n: int) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % n
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt evenly over the cluster where its files give fewer partitions than there are cores.
+#: Rows in an Arrow batch at most: texts are long rows, and a batch is in memory whole.
+BATCH_ROWS = 500
+
 
-    Texts are long rows: without this a small input of one file would run in one task."""
-    want = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame) -> DataFrame:
+    """df ready for a Python map over texts: small Arrow batches, and dealt evenly over the cluster where its files give
+    fewer partitions than there are cores (else a small input of one file would run in one task)."""
+    spark = df.sparkSession
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    want = spark.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
 
 
