@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm import pretokens
-from weft.llm.common import Cache, spread, steps, text_rows
+from weft.llm.common import Cache, spread, steps, text_rows, worker_state
 
 #: Distinct pieces that a worker remembers in each of two generations.
 CACHED = 400_000
@@ -184,9 +184,8 @@ def ranks(path: str) -> Ranks:
     return Ranks(rank, {(rank[w[:i]], rank[w[i:]]): r for w, r in rank.items() for i in range(1, len(w)) if w[:i] in rank and w[i:] in rank}, True)
 
 
-@functools.cache
 def cache(path: str) -> Cache:
-    return Cache(CACHED)
+    return worker_state(("bpe", path), lambda: Cache(CACHED))
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:

@@ -80,6 +80,18 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = CHARS_PER_STEP) -> Ite
             yield ids[at:], texts.slice(at).to_pylist()
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a worker remembers from task to task. Only one operator's state is kept: Spark reuses workers for other stages,
+    whose memory an earlier operator's caches must not take."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 class Cache:
     """A bounded map of two generations: what a full generation did not see again is forgotten."""
 

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Cache, fresh_path, spread, steps, text_rows
+from weft.llm.common import Cache, fresh_path, spread, steps, text_rows, worker_state
 
 LENGTH, END = 4096, 2
 #: Ranges are made so many that one holds about this much; never fewer than shuffle partitions.
 RANGE_BYTES = 64 << 20
 #: Documents sampled for the bounds of each range, and no more than all of them.
 SAMPLE_PER_RANGE, DIMENSIONS, BITS, HASHED, SEED = 40, 3, 10, 1024, 11
-CACHED = 450_000
+CHUNKS_CACHED, WORDS_CACHED = 150_000, 450_000
 #: Python splits at these, the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -44,9 +44,8 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.cache
 def caches(path: str) -> tuple[Cache, Cache]:
-    return Cache(CACHED), Cache(CACHED)
+    return worker_state(("packing", path), lambda: (Cache(CHUNKS_CACHED), Cache(WORDS_CACHED)))
 
 
 def ids_of(texts: list[str], path: str) -> list[bytes]:

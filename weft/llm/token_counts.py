@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm import bpe, pretokens
-from weft.llm.common import Cache, spread, steps, text_rows
+from weft.llm.common import Cache, spread, steps, text_rows, worker_state
 
 #: Documents, and of each so many characters, whose pre-tokens fill the table; it holds HOT of them at most.
 SAMPLE, SAMPLE_CHARS, HOT = 500, 20_000, 50_000
@@ -34,9 +34,8 @@ def specials(path: str) -> list[str]:
         return [t["content"] for t in json.load(f).get("added_tokens", []) if not t["normalized"]]
 
 
-@functools.cache
 def lengths(path: str) -> Cache:
-    return Cache(bpe.CACHED)
+    return worker_state(("token counts", path), lambda: Cache(bpe.CACHED))
 
 
 def lengths_of(path: str):
