@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.functions import paths as P
 from weft.functions.text import fingerprint, stable_id
 from weft.operators import graph as G
 from weft.operators import layout as L
 from weft.operators import ops as O
 from weft.operators import qa as Q
+from weft.operators import retrieval as R
+from weft.operators import validate as V
 from weft.operators import wiki as W
 from weft.plans.graph import EDGES, ID, NODES, artifacts_of, edges_of, nodes_of, relations_of
 from weft.plans.registry import query
@@ -167,3 +170,60 @@ def budget(spark, sf_dir):
 def expanded(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     return Q.expanded(rows, rows.where("conv_id % 3 = 0"), "conv_id").select("conv_id", "turn")
+
+
+@query("quality_capacity", "SELECT c_custkey, strlen('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}')::INTEGER AS record_bytes FROM customer WHERE strlen('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}') > 46")
+def capacity(spark, sf_dir):
+    return V.over_capacity(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 46).select("c_custkey", "record_bytes")
+
+
+@query("quality_revision_mismatches", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'o_orderstatus,o_totalprice' WHEN o_orderkey % 2 = 0 THEN 'o_orderstatus' ELSE 'o_totalprice' END AS different FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def revision_mismatches(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    other = rows.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return V.mismatches(rows, other, "o_orderkey", ["o_orderstatus", "o_totalprice"]).select("o_orderkey", F.array_join("different", ",").alias("different"))
+
+
+@query("quality_artifacts", "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'INVALID_ARTIFACT_TYPE' WHEN p_partkey % 8 = 0 THEN 'INVALID_ARTIFACT_DATA' WHEN p_size % 7 = 0 OR p_partkey % 11 = 0 THEN 'INVALID_SOURCE_REF' END AS error_code FROM part")
+def artifacts(spark, sf_dir):
+    k = F.col("p_partkey")
+    ref = F.struct(F.lit("c").alias("commit_sha"), F.when(k % 11 == 0, "../x").otherwise(F.col("p_name")).alias("path"), F.lit(1).alias("start_line"), (F.col("p_size") % 7).alias("end_line"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 9 == 0, "THING").otherwise("FILE").alias("kind"), F.when(k % 8 == 0, " ").otherwise(F.col("p_name")).alias("name"), ref.alias("source_ref"))
+    return V.classify_artifacts(rows).select("p_partkey", "error_code")
+
+
+@query("paths_text_kind_and_language", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'DOCUMENT' ELSE 'CONFIG' END AS kind, CASE doc_id % 4 WHEN 1 THEN 'python' WHEN 2 THEN lang END AS language, doc_id % 3 = 0 AS moving FROM documents")
+def kinds(spark, sf_dir):
+    k = F.col("doc_id")
+    path = F.concat(F.lit("a/b"), F.when(k % 4 == 0, ".MD").when(k % 4 == 1, ".py").when(k % 4 == 2, ".go").otherwise(".cfg"))
+    properties = F.when(k % 4 == 2, F.create_map(F.lit("language"), F.col("lang")))
+    ref = F.when(k % 3 == 0, F.when(k % 2 == 0, "refs/heads/x").otherwise("HEAD")).otherwise("abc123")
+    return table(spark, sf_dir, "documents").select("doc_id", P.text_kind(path).alias("kind"), L.language(properties, path).alias("language"), P.moving_ref(ref).alias("moving"))
+
+
+@query("retrieval_reranked", "SELECT doc_id, n_chars::DOUBLE AS score FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 10")
+def reranked(spark, sf_dir):
+    hits = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(1.0).alias("score"), "n_chars")
+    return R.reranked(hits, lambda h: h.withColumn("score", F.col("n_chars").cast("double"))).select("doc_id", "score")
+
+
+@query("qa_question_check", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 8000 THEN 'too long' WHEN turn % 3 = 0 THEN 'no read permission' END AS problem FROM conversations")
+def question_check(spark, sf_dir):
+    allowed = F.when(F.col("turn") % 3 == 0, F.array(F.lit("write"))).otherwise(F.array(F.lit("read")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.question_problem(F.col("text"), allowed).alias("problem"))
+
+
+@query("qa_stale_proposals", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def stale(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path, digest = F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256)
+    changes = d.select("doc_id", path, F.when(F.col("doc_id") % 5 == 0, "old").otherwise(digest).alias("base_content_hash"))
+    return Q.stale_proposals(changes, d.where("doc_id % 7 <> 0").select(path, digest.alias("content_hash"))).select("doc_id")
+
+
+@query("wiki_publication_conflicts", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'changed' ELSE 'stale' END AS reason FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def publication(spark, sf_dir):
+    k = F.col("o_orderkey")
+    stored = table(spark, sf_dir, "orders").select("o_orderkey", k.cast("string").alias("slug"), F.lit("s").alias("snapshot_id"), F.lit("h").alias("content_hash"), F.lit(5).alias("revision_no"))
+    new = stored.withColumn("content_hash", F.when(k % 2 == 0, "other").otherwise("h")).withColumn("revision_no", F.when(k % 3 == 0, 5).otherwise(6))
+    return W.publication_conflicts(new, stored.drop("o_orderkey")).select("o_orderkey", "reason")
