@@ -31,7 +31,7 @@ LENGTH, END = 4096, 2
 RANGE_BYTES = 64 << 20
 #: Documents sampled for the bounds of each range, and no more than all of them.
 SAMPLE_PER_RANGE, DIMENSIONS, BITS, HASHED, SEED = 40, 3, 10, 1024, 11
-CHUNKS_CACHED, WORDS_CACHED = 150_000, 450_000
+CHUNKS_CACHED, WORDS_CACHED = 250_000, 500_000
 #: Python splits at these, the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
