@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from weft.llm import pii, simhash
+from weft.llm import near_copies, pii, simhash
 
 RNG = random.Random(9)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randrange(3, 8))) for _ in range(400)]
@@ -72,3 +72,27 @@ def test_run_packs_what_the_stages_leave(spark, corpus):
         assert own == [*library.encode(pii.redact(text, spans), add_special_tokens=False).ids, 2]
     assert "<email> or <ip>" in pii.redact(texts[604], sorted(pii.base_spans(texts[604])))
     assert zlib.crc32(b"") == 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("unit", [500, 3])
+def test_near_dedup_links_what_is_similar_by_five_words(spark, unit):
+    """Copies with one to many changed words (similarities about the threshold), against all pairs compared."""
+    rng, texts = random.Random(4), ["", " ", "a b", "A  b", "a b c"]
+    for _ in range(12):
+        words = rng.choices(WORDS, k=rng.randrange(60, 300))
+        texts.append(" ".join(words))
+        for changes in range(1, 9):
+            copy = words[:]
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for i, j in linked:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_groups(docs, unit).collect()} == dict(enumerate(root))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == set(root)
+    assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
+    assert 20 < len(linked) and len(set(root)) > 12
