@@ -285,6 +285,20 @@ def test_toxicity_holds_out_a_fold_and_finds_unseen_spellings(spark):
     assert all(not r.predicted for r in none) and toxicity.scored(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_the_ends_of_long_texts(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(300)]
+    toxic = [i % 2 for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=1700) + ["stupidest worthless moronic"] * t) for t in toxic]
+    assert all(" ".join(x.split()[:-3])[:8001][8000:] for x in texts)
+    labels = spark.createDataFrame([(i, t, 0) for i, t in enumerate(toxic)], "doc_id long, toxic int, quality int")
+    rows = {r.doc_id: r for r in toxicity.scored(docs_of(spark, texts), labels).collect()}
+    assert np.mean([r.predicted == toxic[i] for i, r in rows.items() if r.held_out]) > 0.97
+    bag = toxicity.bag_of(" ".join(f"sameend{i}" for i in range(40_000)))
+    want = toxicity.subwords([b"sameend%d" % i for i in range(40_000)])[0]
+    assert np.array_equal(np.bincount(bag >> toxicity.COUNT_BITS, bag & toxicity.MOST), np.bincount(want))
+
+
 def test_suffix_tree(spark):
     rng = random.Random(2)
     common = "the quick brown fox jumps over the lazy dog and runs away".split()

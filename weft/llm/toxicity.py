@@ -24,12 +24,17 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Cache, fold, row_filter, spread, steps, text_rows
 
-#: The fit takes at most so many labelled texts of each class, by a hash of the id, and so many characters of each.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 3000, 8000
+#: The fit takes at most so many labelled texts of each class, by a hash of the id; each as the bag of its whole text.
+TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
 BITS, DIMENSIONS, SHORTEST, LONGEST = 17, 4, 3, 6
 BUCKETS, NEUTRAL = 1 << BITS, 400
 STEPS, BATCH, RATE, DECAY, SEED = 300, 200, 0.3, 0.003, 7
 CACHED = 400_000
+#: A bag's entry has a bucket above so many bits and a count in them; a greater count takes several entries.
+COUNT_BITS = 32 - BITS
+MOST = (1 << COUNT_BITS) - 1
+#: Entries of bags that the fit unpacks at a time, and words whose subwords are taken at a time.
+UNPACKED, WORDS_PER_STEP = 2_000_000, 10_000
 PRIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -86,23 +91,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / (count + NEUTRAL) + self.bias, -500, 500)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
+def bag_of(text: str) -> np.ndarray:
+    """The buckets of all subwords of a whole text's distinct words, packed with how often each occurs."""
+    words, counts = words_of(text), np.zeros(BUCKETS, np.int64)
+    for lo in range(0, len(words), WORDS_PER_STEP):
+        counts += np.bincount(subwords(words[lo : lo + WORDS_PER_STEP])[0], minlength=BUCKETS)
+    packed = []
+    while len(some := np.flatnonzero(counts)):
+        taken = np.minimum(counts[some], MOST)
+        packed.append((some << COUNT_BITS | taken).astype(np.uint32))
+        counts[some] -= taken
+    return np.concatenate(packed) if packed else np.zeros(0, np.uint32)
+
+
+def unpacked(bags: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, bucket, count) of the entries of bags, some bags at a time."""
+    at, total = 0, 0
+    for i in range(len(bags) + 1):
+        if i == len(bags) or total and total + len(bags[i]) > UNPACKED:
+            every = np.concatenate(bags[at:i])
+            yield np.repeat(np.arange(at, i), [len(x) for x in bags[at:i]]), every >> COUNT_BITS, (every & MOST).astype(np.float64)
+            at, total = i, 0
+        if i < len(bags):
+            total += len(bags[i])
+
+
+def fit(bags: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> Model:
     """Train embeddings and softmax together by Adam on weighted cross-entropy."""
-    if not len(texts) or not 0 < toxic.sum() < len(toxic):
-        share = float((toxic * weight).sum() / max(weight.sum(), 1e-9)) if len(texts) else 0.0
+    if not len(bags) or not 0 < toxic.sum() < len(toxic):
+        share = float((toxic * weight).sum() / max(weight.sum(), 1e-9)) if len(bags) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     order = np.random.default_rng(SEED)
-    vocabulary: dict[bytes, int] = {}
-    bags = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(x)], np.int64) for x in texts]
-    words = list(vocabulary)
-    found, sizes = [], []
-    for lo in range(0, len(words), 10_000):
-        some, of = subwords(words[lo : lo + 10_000])
-        found.append(some[np.argsort(of, kind="stable")])
-        sizes.append(np.bincount(of, minlength=len(words[lo : lo + 10_000])))
-    buckets, size = np.concatenate(found), np.concatenate(sizes)
-    start = np.cumsum(size) - size
-    length = np.array([size[b].sum() + NEUTRAL for b in bags], np.float64)
+    length = np.array([(x & MOST).sum(dtype=np.int64) + NEUTRAL for x in bags], np.float64)
 
     embedding = order.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = np.stack([np.linspace(-1, 1, DIMENSIONS), np.linspace(1, -1, DIMENSIONS)], 1).astype(np.float32)
@@ -110,21 +130,24 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     places = [embedding, layer, bias]
     first, second, step = [np.zeros_like(p) for p in places], [np.zeros_like(p) for p in places], 0
     weight = weight / weight.mean()
-    epochs = -(-STEPS // -(-len(texts) // BATCH))
+    epochs = -(-STEPS // -(-len(bags) // BATCH))
     for epoch in range(epochs):
-        deal = order.permutation(len(texts))
-        for lo in range(0, len(texts), BATCH):
+        deal = order.permutation(len(bags))
+        for lo in range(0, len(bags), BATCH):
             rows = deal[lo : lo + BATCH]
-            bag = np.concatenate([bags[i] for i in rows])
-            doc = np.repeat(np.arange(len(rows)), [len(bags[i]) for i in rows])
-            each = size[bag]
-            ids = buckets[np.repeat(start[bag] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-            doc = np.repeat(doc, each)
+            some = [bags[i] for i in rows]
+            held = list(unpacked(some)) if sum(map(len, some)) <= UNPACKED else None
             turn = layer[:, 1] - layer[:, 0]
             # the two-class softmax and the mean: along `turn` only, the embeddings' gradient is one number a bucket
-            odds = np.bincount(doc, (embedding @ turn)[ids], len(rows)) / length[rows] + bias[1] - bias[0]
+            gain, odds = embedding @ turn, np.zeros(len(rows))
+            for doc, ids, n in held or unpacked(some):
+                odds += np.bincount(doc, gain[ids] * n, len(rows))
+            odds = odds / length[rows] + bias[1] - bias[0]
             miss = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - toxic[rows]) * weight[rows] / len(rows)
-            pull = np.bincount(ids, (miss / length[rows])[doc], BUCKETS).astype(np.float32)
+            pull = np.zeros(BUCKETS)
+            for doc, ids, n in held or unpacked(some):
+                pull += np.bincount(ids, (miss / length[rows])[doc] * n, BUCKETS)
+            pull = pull.astype(np.float32)
             along = embedding.T @ pull
             slopes = [pull[:, None] * turn[None, :], np.stack([-along, along], 1), np.array([-miss.sum(), miss.sum()], np.float32)]
             step += 1
@@ -138,22 +161,28 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[np.ndarray, float]:
-    """Fit on labelled documents outside the held-out fold, in one task over a bounded sample."""
+    """Fit on labelled documents outside the held-out fold, in one task over a bounded sample.
+
+    Whole texts become bags where they lie; only bags, of a size bounded by the number of buckets, go to the fit."""
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & (fold(labels["doc_id"], folds) != held_out)).groupBy(labels["doc_id"]).agg(F.max((labels["toxic"] > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     sample = picked[0].union(picked[1]).select(F.col("doc_id").alias("known_id"), "toxic")
-    rows = text_rows(docs)
-    rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample["known_id"]).select(F.xxhash64("doc_id").alias("k"), F.substring("text", 1, TRAIN_CHARS).alias("text"), "toxic")
+    rows = spread(text_rows(docs))
+    rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample["known_id"]).select(F.struct(F.xxhash64("doc_id").alias("k"), "toxic").alias("about"), "text")
     weights = {c: counts.get(c, 0) / max(1, min(counts.get(c, 0), most)) for c, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))}
 
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for about, texts in steps(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x["k"] for x in about], pa.int64()), pa.array([bag_of(x).tobytes() for x in texts], pa.binary()), pa.array([x["toxic"] for x in about], pa.int32())], ["k", "bag", "toxic"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((k, x, t) for b in batches for k, x, t in zip(*(c.to_pylist() for c in b.columns)))
         toxic = np.array([t for _, _, t in found], np.float64)
-        model = fit([x for _, x, _ in found], toxic, np.array([weights[int(t)] for t in toxic]))
+        model = fit([np.frombuffer(x, np.uint32) for _, x, _ in found], toxic, np.array([weights[int(t)] for t in toxic]))
         yield pa.RecordBatch.from_arrays([pa.array([model.gain.tobytes()], pa.binary()), pa.array([model.bias])], ["gain", "bias"])
 
-    row = rows.repartition(1).mapInArrow(run, "gain binary, bias double").first()
+    row = rows.mapInArrow(bags, "k long, bag binary, toxic int").repartition(1).mapInArrow(run, "gain binary, bias double").first()
     return (np.frombuffer(row["gain"], np.float32), row["bias"]) if row else (np.zeros(BUCKETS, np.float32), -20.0)
 
 
