@@ -138,6 +138,21 @@ def test_traversal(spark):
         G.traverse(nodes, edges, ["c"], depth=1, most_frontier=1)
 
 
+def test_induced_edges_are_whole_or_refused(spark, monkeypatch):
+    nodes, edges = graph_of(spark)
+    ids = {r.node_id for r in nodes.collect()}
+    want = {r.edge_id for r in edges.collect() if r.from_node_id in ids and r.to_node_id in ids}
+    for most in (None, len(want)):
+        assert {r.edge_id for r in G.induced(edges, nodes, most).collect()} == want
+    with pytest.raises(ValueError, match="budget"):
+        G.induced(edges, nodes, len(want) - 1)
+    star = spark.range(50_005).select(F.concat(F.lit("e"), "id").alias("edge_id"), F.lit("CALLS").alias("relation_type"), F.lit("n:7").alias("from_node_id"), F.concat(F.lit("c:"), "id").alias("to_node_id"))
+    ends = spark.range(50_005).select(F.concat(F.lit("c:"), "id").alias("node_id"), F.lit("CLASS").alias("entity_type")).union(spark.createDataFrame([("n:7", "MODULE"), ("n:8", "MODULE")], "node_id string, entity_type string"))
+    monkeypatch.setattr(graph, "nodes_of", lambda *_: ends)
+    monkeypatch.setattr(graph, "edges_of", lambda *_: star)
+    assert graph.induced_edges(spark, "").count() == 50_005
+
+
 def test_traversal_equals_breadth_first_search(spark):
     rng = random.Random(5)
     names = [f"n{i:02}" for i in range(40)]

@@ -68,6 +68,16 @@ def closed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "from_node_id", "left_semi").join(b, "to_node_id", "left_semi")
 
 
+def induced(edges: DataFrame, nodes: DataFrame, most_edges: int | None = MOST_EDGES) -> DataFrame:
+    """All edges whose two ends are among the nodes; more than most_edges (None: no budget) are refused, never cut off."""
+    found = closed(edges, nodes)
+    if most_edges is not None:
+        found = cut(found)
+        if (n := found.limit(most_edges + 1).count()) > most_edges:
+            raise ValueError(f"{n} induced edges or more are over the budget of {most_edges}")
+    return found
+
+
 def connected_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without the issues that no edge reaches."""
     ends = edges.select(F.col("to_node_id").alias("node_id"))

@@ -86,7 +86,7 @@ def bfs_blocked(spark, sf_dir):
 @query("graph_induced_edges", f"{BFS} SELECT edge_id, relation_type, from_node_id, to_node_id FROM edges WHERE from_node_id IN (SELECT node_id FROM visited) AND to_node_id IN (SELECT node_id FROM visited) ORDER BY edge_id LIMIT 50000")
 def induced_edges(spark, sf_dir):
     visited = G.traverse(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), ["n:7", "n:8"], depth=2, most_frontier=None)
-    return G.closed(edges_of(spark, sf_dir), visited).select("edge_id", "relation_type", "from_node_id", "to_node_id").orderBy("edge_id").limit(G.MOST_EDGES)
+    return G.induced(edges_of(spark, sf_dir), visited, most_edges=None).select("edge_id", "relation_type", "from_node_id", "to_node_id").orderBy("edge_id")
 
 
 @query("graph_call_chain", f"WITH {EDGES}, a AS (SELECT 'o:' || (SELECT min(o_orderkey) FROM orders) AS node_id, 0 AS distance UNION ALL SELECT to_node_id, 1 FROM edges WHERE relation_type = 'CALLS' AND from_node_id = 'o:' || (SELECT min(o_orderkey) FROM orders)) SELECT node_id, min(distance) AS distance FROM a GROUP BY node_id ORDER BY 2, 1 LIMIT 100")
