@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,31 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = CHARS_PER_STEP) -> Ite
             yield ids[at:], texts.slice(at).to_pylist()
 
 
+def arrow_steps(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) out of the first two columns of Arrow batches, as arrays of about `limit` characters: small batches are
+    joined, large ones are cut between texts."""
+    held: list[tuple[pa.Array, pa.Array]] = []
+    total = 0
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        return tuple(pa.concat_arrays(list(x)) for x in zip(*held))
+
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        at = 0
+        for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+            if total and total + size > limit:
+                if i > at:
+                    held.append((ids.slice(at, i - at), texts.slice(at, i - at)))
+                yield joined()
+                held, total, at = [], 0, i
+            total += size
+        if at < len(ids):
+            held.append((ids.slice(at), texts.slice(at)))
+    if held:
+        yield joined()
+
+
 _STATE: dict = {}
 
 
