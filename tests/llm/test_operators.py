@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weft.llm import bpe, boosting, components, exact_dedup, packing, pii, pretokens, simhash, suffix_tree, token_counts, topk, toxicity, warc
+from weft.llm import bpe, boosting, components, exact_dedup, packing, pii, pretokens, simhash, token_counts, topk, toxicity, warc
 
 MULTI, GPT, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 RANDOM = random.Random(3)
@@ -297,35 +297,3 @@ def test_toxicity_learns_from_the_ends_of_long_texts(spark):
     bag = toxicity.bag_of(" ".join(f"sameend{i}" for i in range(40_000)))
     want = toxicity.subwords([b"sameend%d" % i for i in range(40_000)])[0]
     assert np.array_equal(np.bincount(bag >> toxicity.COUNT_BITS, bag & toxicity.MOST), np.bincount(want))
-
-
-def test_suffix_tree(spark):
-    rng = random.Random(2)
-    common = "the quick brown fox jumps over the lazy dog and runs away".split()
-    texts = [" ".join(common if rng.random() < 0.5 else rng.choices([*common, f"rare{i}"], k=12)) for i in range(300)] + [None, "", "Unseen words only"]
-    docs = docs_of(spark, texts)
-    rows = {r.doc_id: r for r in suffix_tree.scored(docs).collect()}
-    bags = [suffix_tree.words_of(x or "") for x in texts]
-    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
-    counts = collections.Counter(w for b, t in zip(bags, train) if t for w in b)
-    total, distinct = sum(counts.values()), len(counts)
-    for i, b in enumerate(bags):
-        r = rows[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not train[i], len(b), sum(counts[w] > 0 for w in b), total)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in b))
-    held = [r for r in rows.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    # after every context the probabilities of all words and of the unknown one sum to one
-    tree, _ = suffix_tree.learned(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    names = sorted(tree.number, key=tree.number.get)
-    assert len(tree.keys1) and len(tree.keys2)
-    rare = [w for w in counts if w not in tree.number]
-    lost = sum(max(counts[w] - tree.discount, 1e-300) / total for w in rare) + tree.unknown()
-    for before in ([b" ", b"the"], [b"quick", b"brown"], [b"jumps", b"over"], [b"over", b"the"]):
-        first = [tree.number.get(w, -1) for w in before]
-        mass = 0.0
-        for x in [*range(len(names)), -1]:
-            log = tree.scores(np.array([*first, x]), np.array([True, True, False]))[2]
-            mass += 10**log * (1 if x >= 0 else lost)
-        assert mass == pytest.approx(1, abs=1e-6)
-    assert suffix_tree.scored(docs.limit(0)).count() == 0
