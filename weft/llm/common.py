@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session without a cluster may do without
+    that setting, and gets a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -158,14 +161,50 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
+def small_parts(batches: Iterator[pa.RecordBatch], at: int, limit: int = CHARS_PER_STEP) -> Iterator[pa.RecordBatch]:
+    """Batches cut between rows so that the texts of column number `at` have about `limit` bytes (a longer one is alone)."""
+    for batch in batches:
+        first, total = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+            if total and total + size > limit:
+                yield batch.slice(first, i - first)
+                first, total = i, 0
+            total += size
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
 def row_filter(docs: DataFrame, keep) -> DataFrame:
     """The rows of docs, with all their columns, for whose texts keep(texts) is true; null texts are given as empty."""
     at, rows = docs.columns.index("text"), docs.withColumn("text", docs["text"].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                yield part.filter(pa.array(keep([x or "" for x in part.column(at).to_pylist()]), pa.bool_()))
+        for part in small_parts(batches, at):
+            yield part.filter(pa.array(keep([x or "" for x in part.column(at).to_pylist()]), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def most_frequent(rows: DataFrame, count: str, most: int) -> Column:
+    """Whether a row's count is among the greatest, of which there are `most` or fewer; found from a histogram, so nothing
+    is sorted, and what is left has a bounded share of the sum of all counts."""
+    bucket = F.floor(F.log2(F.col(count)) * 16)
+    seen = sorted(((r[0], r[1]) for r in rows.where(F.col(count) > 0).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, low = 0, None
+    for b, n in seen:
+        if (total := total + n) > most:
+            break
+        low = b
+    return F.lit(False) if low is None else (F.col(count) > 0) & (bucket >= low)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """rows left-joined with groups (one row a key; column `size` is never null) without a hot key: the largest groups, `most`
+    at most, are broadcast, and only rows of smaller ones are shuffled. Rows with a null key have no group."""
+    hot = most_frequent(groups, size, most)
+    first = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    cold = groups.where(~hot)
+    if cold.isEmpty():
+        return first
+    met = F.col(size).isNotNull() | F.col(key).isNull()
+    return first.where(met).unionByName(first.where(~met).select(*rows.columns).join(cold, key, "left").select(*first.columns))

@@ -1,8 +1,9 @@
 """Exact de-duplication: group by a 128-bit content hash, keep the smallest id, compare bytes inside groups.
 
 Defined results: a null text is an empty text; empty texts are equal to each other; repeated rows and equal ids are
-rows of their own (the smallest id stays; of several rows with that id all stay under the same keep_id); an empty table
-gives no rows; other columns are ignored. Texts of any length are hashed whole.
+rows of their own (the smallest id stays; of several rows with that id all stay under the same keep_id); a row without an
+id stays only where no row of its group has one (its keep_id is null then), and drop_copies, which drops by id, keeps all
+rows without one; an empty table gives no rows; other columns are ignored. Texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, text_rows, without
+from weft.llm.common import cut, join_groups, text_rows, without
 
 #: A run of white space, unless it is one space already.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
-#: Up to so many hashes (of 16 bytes, with an id) are broadcast; more are joined by a shuffle.
-BROADCAST_HASHES = 500_000
+#: So many of the largest groups (a hash of 16 bytes, an id, a number) are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -31,32 +32,28 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
+def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash, most: int = BROADCAST_GROUPS) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every document.
 
-    Only hashes and ids are shuffled for the groups (pre-aggregated, so a group of any size arrives as one row for each
-    task). Texts move only for hashes that occur more than once: each is joined with its group's kept text and compared
-    as bytes. Rows that differ from it (a collision of the hash) are grouped again by the text itself. A hot hash is a
-    hot key of plain joins only, whose large side adaptive execution splits.
+    Hashes and ids are grouped with pre-aggregation, so a group of any size arrives as one row for each task. Bytes are
+    compared the same way: of each hash that occurs more than once the least and the greatest text are taken within tasks
+    and then over the cluster; where they are equal, so are all between them. Groups with different texts (collisions of
+    the hash) are grouped again by the text itself. Rows get their group without a hot key (join_groups).
     """
     rows = text_rows(docs).select("doc_id", normalised(F.col("text")).alias("t"))
     hashes = cut(rows.select("doc_id", hashed(F.col("t")).alias("h"), F.unhex(F.sha2(F.col("t"), 256)).alias("sha")))
-    groups = cut(hashes.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    many = groups.where("n > 1").select("h", "first_id")
-    if many.count() <= BROADCAST_HASHES:
-        many = F.broadcast(many)
-
-    shared = rows.select("doc_id", hashed(F.col("t")).alias("h"), "t").join(many, "h")
-    firsts = shared.where("doc_id = first_id").groupBy("h").agg(F.min("t").alias("first_t"))
-    other = cut(shared.join(firsts, "h").where("t <> first_t").select("doc_id", "h", "t"))
-    again = other.groupBy("h", "t").agg(F.min("doc_id").alias("keep2"), F.count("*").alias("n2"))
-    moved = again.select("h", F.unhex(F.sha2("t", 256)).alias("sha"), "keep2", "n2")
-    lost = other.groupBy("h").agg(F.count("*").alias("gone"))
-
-    sized = groups.join(lost, "h", "left").select("h", "first_id", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n"))
-    out = hashes.join(sized, "h").join(moved, ["h", "sha"], "left")
-    keep = F.coalesce("keep2", "first_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n2", "n").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    groups = cut(hashes.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
+    texts = join_groups(rows.select(hashed(F.col("t")).alias("h"), "t"), groups.select("h", "n"), "h", "n", most).where("n is not null")
+    mixed = cut(texts.groupBy("h").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("h"))
+    out = join_groups(hashes, groups, "h", "n", most)
+    keep, size = F.coalesce("first_id", F.when(F.col("n").isNull(), F.col("doc_id"))), F.coalesce("n", F.lit(1).cast("long"))
+    if not mixed.isEmpty():
+        collided = rows.select("doc_id", hashed(F.col("t")).alias("h"), "t").join(mixed, "h", "left_semi")
+        again = collided.groupBy("h", "t").agg(F.min("doc_id").alias("keep2"), F.count("*").alias("n2")).select("h", F.unhex(F.sha2("t", 256)).alias("sha"), "keep2", "n2")
+        out = out.join(cut(again), ["h", "sha"], "left")
+        met = F.col("n2").isNotNull()
+        keep, size = F.when(met, F.col("keep2")).otherwise(keep), F.coalesce("n2", size)
+    return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
