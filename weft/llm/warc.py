@@ -10,7 +10,8 @@ decoded.
 
 Defined results: a null payload is an empty one; a null url gives no target; line breaks in a url are percent-encoded;
 payloads hold any bytes, record separators included, because lengths tell where they end; equal page ids give records
-of their own; an empty table gives an archive without records.
+of their own (those with a group's smallest id are responses all); a page without an id is a response without a record id,
+and no page revisits it; an empty table gives an archive without records; other columns of pages are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from weft.llm.common import cut, fresh_path
+from weft.llm.common import cut, fresh_path, join_groups
 
 VERSION, BREAK = "WARC/1.1", "\r\n"
 #: The date of records whose source has none, so that an archive is the same whenever it is written.
 DATE = "2020-01-01T00:00:00Z"
 SHORTEST_REVISIT = 100
+#: So many of the largest groups of equal payloads (a digest and an id) are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Header lines that the reader gives as columns.
@@ -47,7 +50,7 @@ def opened(path: str):
 
     where, name = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
     raw = where.open_input_stream(name, compression=None)
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if name.endswith(".gz") else raw
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 20)
 
 
 def listed(path: str) -> list[str]:
@@ -62,21 +65,42 @@ def listed(path: str) -> list[str]:
 
 
 def skip(f, n: int) -> None:
-    while n > 0 and (got := len(f.read(min(n, 1 << 20)))):
+    """Leave n bytes out; fewer than these are an error."""
+    while n > 0:
+        got = len(f.read(min(n, 1 << 20)))
+        if not got:
+            raise ValueError(f"the archive ends {n} bytes before its record")
         n -= got
 
 
+def whole(f, n: int) -> bytes:
+    """n bytes; fewer are an error."""
+    found = f.read(n)
+    if len(found) < n:
+        raise ValueError(f"the archive ends {n - len(found)} bytes before its record")
+    return found
+
+
 def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Header and payload of each record that `wanted` takes; the payload of an HTTP block comes after its empty line."""
+    """Header and payload of each record that `wanted` takes; the payload of an HTTP block comes after its empty line.
+
+    A header line that begins with white space goes on the one before it. An archive that ends within a record is refused."""
     while line := f.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins with {line[:40]!r}")
         head: dict[str, str] = {}
+        name = ""
         while (line := f.readline()).strip():
+            if line[:1] in b" \t" and name:
+                head[name] += " " + line.decode("utf-8").strip()
+                continue
             name, _, value = line.decode("utf-8").partition(":")
-            head[name.strip().lower()] = value.strip()
+            name = name.strip().lower()
+            head[name] = value.strip()
+        if not line:
+            raise ValueError("the archive ends within a record's header")
         size = int(head.get("content-length", 0))
         if not wanted(head):
             skip(f, size)
@@ -85,7 +109,7 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
             skip(f, size)
             yield head, None
             continue
-        block = f.read(size)
+        block = whole(f, size)
         if head.get("content-type", "").startswith("application/http"):
             block = block.partition(b"\r\n\r\n")[2]
         yield head, block
@@ -149,16 +173,17 @@ def line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(BREAK)), F.lit(""))
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, most: int = BROADCAST_GROUPS) -> None:
     """Write a record for each page (page_id, url, html); of equal payloads of 100 bytes and more the one with the smallest
     page_id is a response, and the others revisit it.
 
-    Groups come from digests alone, pre-aggregated; only revisits' ids and targets are then joined to the pages."""
-    digest = F.sha2(F.col("payload"), 256)
+    Groups come from digests alone, pre-aggregated, and are small beside the pages: they are broadcast, so payloads stay where
+    they lie. Only beyond BROADCAST_GROUPS of them are payloads of smaller groups moved; short ones never are."""
+    long = F.octet_length("payload") >= SHORTEST_REVISIT
     rows = pages.select(pages["page_id"], pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("binary"), F.lit(b"")).alias("payload"))
-    digests = cut(rows.select("page_id", F.unhex(digest).alias("d"), F.octet_length("payload").alias("n")))
-    groups = digests.where(f"n >= {SHORTEST_REVISIT}").groupBy("d").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("d", "first_id")
-    told = rows.withColumn("d", F.unhex(digest)).join(groups, "d", "left")
+    rows = rows.withColumn("d", F.unhex(F.sha2("payload", 256))).withColumn("k", F.when(long, F.col("d")))
+    groups = cut(rows.where("k is not null").groupBy("k").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"))
+    told = join_groups(rows, groups, "k", "copies", most)
     revisit = F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     block = F.concat(F.lit(HTTP.encode()), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
