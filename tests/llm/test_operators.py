@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weft.llm import bpe, boosting, components, exact_dedup, packing, pii, pretokens, simhash, token_counts, topk, toxicity, warc
+from weft.llm import bpe, boosting, components, exact_dedup, packing, pii, pretokens, simhash, token_counts, toxicity, warc
 
 MULTI, GPT, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 RANDOM = random.Random(3)
@@ -224,22 +224,6 @@ def test_hilbert_curve_visits_every_cell_in_steps_of_one():
     assert set(np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1).tolist()) == {1}
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(4)
-    vectors = {i: rng.normal(size=6).tolist() for i in range(130)} | {200: [float("nan")] * 6, 250: None, 251: [1.0, None, 0.0, 0.0, 0.0, 0.0], 300: [0.0] * 6}
-    for i in (40, 41, 42):
-        vectors[i] = vectors[0]
-    rows = topk.top_k(spark.createDataFrame([(i, v, "x") for i, v in vectors.items()], "vec_id long, embedding array<double>, score string")).collect()
-    good = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items() if v and all(x is not None and math.isfinite(x) for x in v)}
-    want = {}
-    for q in (i for i in good if i % 50 == 0):
-        for rank, (minus, i) in enumerate(sorted((-sum(a * b for a, b in zip(good[q], good[i])), i) for i in good if i != q)[:5], 1):
-            want[q, rank] = (i, -minus)
-    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in rows} == want
-    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert topk.top_k(empty).count() == 0
-
-
 def test_warc(spark):
     body = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n é</p>"
     pages = spark.createDataFrame([(1, "http://a/b", body), (2, "http://c\r\nX: y", body), (3, None, None), (4, "u", "short"), (5, "u", "short"), (0, "v", "y" * 150)], "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
