@@ -30,8 +30,8 @@ from weft.llm.common import Cache, arrow_steps, fresh_path, spread, text_rows, w
 LENGTH, END = 4096, 2
 #: A range of the curve holds about this much; a table has MOST_RANGES at most, and each range is streamed, whatever its size.
 RANGE_BYTES, MOST_RANGES = 12 << 20, 100_000
-#: A document of more tokens than this moves in parts, so that no task has to hold or receive a long one whole.
-PART = 1 << 16
+#: A document of more tokens than this moves in parts: no task receives a long one whole, and ranges of rows are ranges of bytes.
+PART = 1 << 12
 DIMENSIONS, BITS, HASHED, SEED = 3, 10, 1024, 11
 #: Distinct words that a worker remembers in each of two generations.
 CACHED = 700_000

@@ -10,11 +10,13 @@ The trees are trained here, on examples made by rule with a fixed seed: spans of
 So the model is the same for any input, and no text is needed to train it.
 
 Defined results: a null text is an empty text without spans; texts of any length are read whole, in linear time; spans
-are in code points; equal rows give equal rows; an empty table gives no rows; other columns are ignored.
+are in code points; equal rows, equal ids and null ids give rows of their own; an empty table gives no rows; other columns are
+ignored (redacted keeps them as they are).
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.boosting import Trees
-from weft.llm.common import spread, steps, text_rows
+from weft.llm.common import small_parts, spread, steps, text_rows
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Generators: spelled-out mail addresses, numbers in groups, hexadecimal addresses.
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s?[(\[{]\s?at\s?[)\]}]\s?|\s?@\s?| at )[A-Za-z0-9-]{1,63}(?:(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.| dot )[A-Za-z0-9-]{1,63}){1,6}", re.I)
-SIGN = re.compile(r"@|[(\[{]\s?at\s?[)\]}]| dot |[(\[{]\s?dot\s?[)\]}]", re.I)
+SIGN = re.compile(r"@|[(\[{]\s?at\s?[)\]}]| at (?=[A-Za-z0-9-]{1,63}(?:\.| dot |\s?[(\[{]))| dot |[(\[{]\s?dot\s?[)\]}]", re.I)
 GROUPS = re.compile(r"(?<![0-9])[+(]?[0-9][0-9\x20().\-/]{5,40}[0-9](?![0-9])")
 HEXADECIMAL = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 HINTS = [
@@ -206,21 +208,47 @@ def model() -> tuple[Trees, np.ndarray]:
     return trees, limits
 
 
+class Spans:
+    """Disjoint spans in order; whether another one touches any of them is found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touch(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.starts, b) - 1
+        return at >= 0 and self.ends[at] > a
+
+    def add(self, a: int, b: int) -> None:
+        """A span that touches none."""
+        at = bisect.bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], trees: Trees, limits: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """What the trees add: of overlapping proposals the one with the highest odds, none that touches a base span."""
     found, rows = [], []
     for i, text in enumerate(texts):
         if spans := proposals(text) if "@" in text or DIGIT.search(text) or SIGN.search(text) else []:
+            taken = Spans([(a, b) for a, _, b in base[i]])
             for a, k, b in spans:
-                if not any(a < end and start < b for start, _, end in base[i]):
+                if not taken.touch(a, b):
                     found.append((i, a, k, b))
                     rows.append(features(text, a, k, b))
     out: list[list] = [[] for _ in texts]
     if rows:
         odds = trees.odds(np.array(rows, float))
+        taken_in: dict[int, Spans] = {}
         for at in np.argsort(-odds, kind="stable").tolist():
             i, a, k, b = found[at]
-            if odds[at] > limits[k] and not any(a < end and start < b for start, _, end in out[i]):
+            if odds[at] > limits[k] and not taken_in.setdefault(i, Spans([])).touch(a, b):
+                taken_in[i].add(a, b)
                 out[i].append((a, k, b))
     return out
 
@@ -278,14 +306,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     rows = spread(docs.withColumn("text", docs["text"].cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [x or "" for x in part.column(at).to_pylist()]
-                base = [base_spans(x) for x in texts]
-                more = added_spans(texts, base, *trees.value)
-                clean = [None if null else redact(x, sorted(s + m)) for x, s, m, null in zip(texts, base, more, part.column(at).is_null().to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(part.columns)], names)
+        for part in small_parts(batches, at):
+            texts = [x or "" for x in part.column(at).to_pylist()]
+            base = [base_spans(x) for x in texts]
+            more = added_spans(texts, base, *trees.value)
+            clean = [None if null else redact(x, sorted(s + m)) for x, s, m, null in zip(texts, base, more, part.column(at).is_null().to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(part.columns)], names)
 
     out = rows.mapInArrow(run, rows.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -29,7 +29,7 @@ TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
 BITS, DIMENSIONS, SHORTEST, LONGEST = 17, 4, 3, 6
 BUCKETS, NEUTRAL = 1 << BITS, 400
 STEPS, BATCH, RATE, DECAY, SEED = 300, 200, 0.3, 0.003, 7
-CACHED = 400_000
+CACHED = 250_000
 #: A bag's entry has a bucket above so many bits and a count in them; a greater count takes several entries.
 COUNT_BITS = 32 - BITS
 MOST = (1 << COUNT_BITS) - 1
