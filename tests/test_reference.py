@@ -212,11 +212,11 @@ def test_context_budget(spark):
 def test_validation(spark):
     good = ("c", "a/b.py", "", 1, 2, "")
     rows = spark.createDataFrame([("1", "FILE", "a", good), ("2", "THING", "a", good), ("3", "FILE", " ", good), ("4", "FILE", "a", ("c", "../b", "", 1, 2, "")), ("5", "FILE", "a", ("c", "b", "", 3, 2, ""))], f"artifact_id string, kind string, name string, source_ref {REF}")
-    assert {r.artifact_id: r.error_code for r in V.classify_artifacts(rows).collect()} == {"1": None, "2": "INVALID_ARTIFACT_TYPE", "3": "INVALID_ARTIFACT_DATA", "4": "INVALID_SOURCE_REF", "5": "INVALID_SOURCE_REF"}
+    assert {r.artifact_id: r.error_code for r in V.classify_artifacts(rows).collect()} == {"1": None, "2": "INVALID_ARTIFACT_TYPE", "3": "INVALID_ARTIFACT_DATA", "4": "INVALID_ARTIFACT_SOURCE_REF", "5": "INVALID_ARTIFACT_SOURCE_REF"}
     gate = lambda **k: V.gate(V.classify_artifacts(rows), **k).first().status
     assert (gate(), gate(most=3), gate(most_ratio=0.5), V.gate(V.classify_artifacts(rows.limit(0))).first().status) == ("DEGRADED", "FAILED", "FAILED", "HEALTHY")
-    history = spark.createDataFrame([("j", "QUEUED", 1), ("j", "RUNNING", 2), ("j", "QUEUED", 3)], "job string, status string, at int")
-    assert [(r.before, r.after) for r in V.illegal_transitions(history, "job", "status", ["at"]).collect()] == [("RUNNING", "QUEUED")]
+    history = spark.createDataFrame([("j", "PENDING", 1), ("j", "BUILDING", 2), ("j", "PENDING", 3)], "job string, status string, at int")
+    assert [(r.before, r.after) for r in V.illegal_transitions(history, "job", "status", ["at"]).collect()] == [("BUILDING", "PENDING")]
     assert V.over_capacity(rows, 50).count() == 5
 
 
@@ -232,7 +232,7 @@ def test_questions_and_proposals(spark):
     assert one(spark, Q.selected(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(2), F.lit(2), F.lit(1)))) == ["b", "a"]
     assert one(spark, Q.selected(F.array(F.lit("a")), F.array(F.lit(2)))) is None
     diff = "--- a/x\n+++ b/x\n@@ -1 +1 @@\n"
-    rows = spark.createDataFrame([("x", "LOW", diff), ("x", "LOW", diff + "rename from y\n"), ("y", "LOW", diff), ("x", "NONE", diff), ("../x", "LOW", diff)], "path string, risk string, unified_diff string")
+    rows = spark.createDataFrame([("x", "LOW", diff), ("x", "LOW", diff + "rename from y\n"), ("y", "LOW", diff), ("x", "NONE", diff), ("../x", "LOW", diff)], "path string, risk string, unified_diff string").withColumn("base_content_hash", F.lit("sha256:12345678"))
     assert [r.p for r in rows.select(Q.proposal_problem().alias("p")).collect()] == [None, "lifecycle", "header", "risk", "path"]
     assert one(spark, Q.model_output(F.lit('```json\n{"a": 1}\n```'), "a int")).a == 1
     refs = spark.createDataFrame([("c", "a", "", 1, 1, ""), ("c", "a", "", 1, 1, ""), ("d", "a", "", 1, 1, ""), ("c", "../a", "", 1, 1, ""), ("c", "b", "", 2, 1, "")], "commit_sha string, path string, symbol_id string, start_line int, end_line int, content_hash string")
@@ -251,19 +251,19 @@ def test_tables(spark, tmp_path):
         S.keyset_page(rows, "id", None, 0)
 
 
-def event(i, kind="parse.completed.v1", payload='{"snapshot_id": "s", "artifact_count": 1, "relation_count": 0, "parser_result_version": "1", "commit_sha": "c"}', producer="parser"):
+def event(i, kind="parse.completed.v1", payload='{"snapshot_id": "s", "artifact_count": 1, "relation_count": 0, "commit_sha": "c"}', producer="repository-parser"):
     return (f"e{i}", kind, "a", None, producer, 1, "t", payload, "tenant", "repo")
 
 
 def test_consumer_has_its_effect_once(spark, tmp_path):
     source, requests, rejected = (str(tmp_path / x) for x in ("in", "requests", "rejected"))
-    first = [event(1), event(2), event(3, "other.v1"), event(4, payload='{"snapshot_id": "s", "more": 1}'), event(5, payload="no json"), event(6, "parse.failed.v1", "{}")]
+    first = [event(1), event(2), event(3, "other.v1"), event(4, payload='{"snapshot_id": "s", "more": 1}'), event(5, payload="no json"), event(6, "parse.failed.v1", '{"snapshot_id": "s", "error_code": "E", "retryable": true}'), event(8, payload='{"snapshot_id": "s", "artifact_count": 1, "commit_sha": "c"}')]
     spark.createDataFrame(first, jobs.ENVELOPE).coalesce(1).write.mode("append").json(source)
     jobs.consume(jobs.event_files(spark, source), requests, rejected, str(tmp_path / "c")).awaitTermination()
     spark.createDataFrame([event(1), event(7), event(3, "other.v1")], jobs.ENVELOPE).coalesce(1).write.mode("append").json(source)
     jobs.consume(jobs.event_files(spark, source), requests, rejected, str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(requests).count() == 1
-    assert {r.event_id: r.reason for r in spark.read.parquet(rejected).collect()} == {"e3": "event_type", "e4": "unknown field", "e5": "invalid json"}
+    assert {r.event_id: r.reason for r in spark.read.parquet(rejected).collect()} == {"e3": "event_type", "e4": "unknown field", "e5": "invalid json", "e8": "missing relation_count"}
 
 
 def test_windows_over_a_stream(spark, tmp_path):

@@ -10,7 +10,14 @@ from weft.functions import paths as P
 KINDS = ["ADDED", "MODIFIED", "DELETED", "RENAMED", "TYPE_CHANGED"]
 MOST_BYTES, MOST_FILES = 2 << 20, 100_000
 #: Parsers by extension, or by name for files without a telling one.
-PARSERS = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".rs": "rust", ".go": "go", ".md": "text", ".txt": "text", ".json": "text", ".xml": "text", ".mod": "text", "dockerfile": "text", "makefile": "text"}
+PARSERS = {
+    ".py": "python",
+    **dict.fromkeys([".ts", ".tsx", ".js", ".jsx", ".mts", ".cts"], "typescript"),
+    ".java": "java",
+    ".rs": "rust",
+    ".go": "go",
+    **dict.fromkeys([".md", ".mdx", ".rst", ".txt", ".json", ".yaml", ".yml", ".toml", ".xml", ".ini", ".properties", ".mod", "dockerfile", "makefile", "requirements.txt"], "text"),
+}
 #: What a letter of a name-status listing means.
 LETTERS = {"A": "ADDED", "M": "MODIFIED", "D": "DELETED", "T": "TYPE_CHANGED"}
 

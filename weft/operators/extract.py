@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words before a bracket that are no calls.
-NO_CALLS = ["if", "for", "while", "switch", "catch", "return", "function", "def", "class", "fn", "match", "new", "super", "elif", "with", "assert", "print", "not", "and", "or", "in", "lambda", "sizeof", "typeof"]
+#: Words before a bracket that are no calls, and what a name is.
+NO_CALLS = ["if", "for", "while", "switch", "catch", "return", "new", "function", "def", "class", "super", "this"]
+NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 CONFIDENCE = {"CALLS": 0.65, "IMPORTS": 1.0, "EXTENDS": 0.9, "IMPLEMENTS": 0.9, "DEPENDS_ON": 0.95, "CONTAINS": 1.0}
 PARTS = "path string, kind string, name string, qualified_name string, owner string, start_line int, end_line int, bases array<string>"
 
@@ -24,9 +25,10 @@ def lines_of(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def called(text: Column) -> Column:
-    """Distinct names before an opening bracket, without keywords."""
-    names = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)\s*\("), 1)
-    return F.array_except(F.array_distinct(names), F.array(*map(F.lit, NO_CALLS)))
+    """Distinct names before an opening bracket, without keywords and without the name that the line declares."""
+    names = F.regexp_extract_all(text, F.lit(rf"\b({NAME}(?:\.{NAME})?)\s*\("), 1)
+    declared = F.regexp_extract(text, rf"^\s*(?:export\s+|pub\s+|async\s+)*(?:def|function|fn|func|class)\s+({NAME})", 1)
+    return F.array_except(F.array_distinct(names), F.array(*map(F.lit, NO_CALLS), declared))
 
 
 def calls(lines: DataFrame) -> DataFrame:
@@ -65,13 +67,26 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 def indented_ends(lines: DataFrame) -> DataFrame:
     """end_line of every line: the last before a later line that is indented no deeper; blank lines end nothing."""
-    own = F.char_length(F.regexp_extract("text", r"^(\s*)", 1))
-    filled = lines.where(F.trim("text") != "").select("path", "line", own.alias("indent"))
-    after = filled.select(F.col("path").alias("p2"), F.col("line").alias("l2"), F.col("indent").alias("i2"))
-    later = filled.join(after, (F.col("path") == F.col("p2")) & (F.col("l2") > F.col("line")) & (F.col("i2") <= F.col("indent")), "left").groupBy("path", "line").agg(F.min("l2").alias("stop"))
-    last = filled.groupBy("path").agg(F.max("line").alias("last"))
-    before = filled.withColumn("previous", F.lag("line").over(Window.partitionBy("path").orderBy("line"))).select("path", F.col("line").alias("stop"), "previous")
-    return later.join(last, "path").join(before, ["path", "stop"], "left").select("path", "line", F.coalesce("previous", "last").alias("end_line"))
+    own = F.char_length(F.regexp_extract("text", r"^([ \t]*)", 1))
+    filled = lines.where(F.trim("text", F.lit(" \t\r")) != "").select("path", "line", own.alias("indent"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lines come by path and number; open ones are a stack, so each is pushed and popped once."""
+        now, stack, before = None, [], 0
+        for batch in batches:
+            closed = []
+            for path, line, indent in zip(batch["path"], batch["line"], batch["indent"]):
+                if path != now:
+                    closed += [(now, n, before) for n, _ in stack]
+                    now, stack = path, []
+                while stack and indent <= stack[-1][1]:
+                    closed.append((now, stack.pop()[0], before))
+                stack.append((line, indent))
+                before = line
+            yield pd.DataFrame(closed, columns=["path", "line", "end_line"])
+        yield pd.DataFrame([(now, n, before) for n, _ in stack], columns=["path", "line", "end_line"])
+
+    return filled.repartition("path").sortWithinPartitions("path", "line").mapInPandas(run, "path string, line int, end_line int")
 
 
 def stripped(text: Column) -> Column:

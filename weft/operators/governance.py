@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Units that each capability costs.
-CAPABILITIES = {"search_code": 1, "get_symbol": 1, "trace_calls": 2, "list_modules": 1, "ask": 5, "propose_change": 10}
+CAPABILITIES = {"search_code": 1, "get_symbol": 1, "find_call_chain": 2, "get_wiki_page": 1, "ask_repository": 5, "wiki_page": 1}
 
 
 def capabilities(spark) -> DataFrame:

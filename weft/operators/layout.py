@@ -11,10 +11,10 @@ from weft.operators.graph import closed, cut, traverse
 #: Entity and relation types of each view (none: all), languages of extensions, distances on the canvas.
 VIEWS = {
     "REPOSITORY_MAP": ([], []),
-    "MODULE_DEPENDENCY": (["MODULE", "FILE"], ["DEPENDS_ON", "IMPORTS", "CONTAINS"]),
+    "MODULE_DEPENDENCY": (["MODULE", "PACKAGE", "FILE"], ["IMPORTS", "DEPENDS_ON"]),
     "CLASS_DIAGRAM": (["CLASS", "INTERFACE"], ["EXTENDS", "IMPLEMENTS"]),
-    "CALL_GRAPH": (["FUNCTION", "METHOD", "FILE"], ["CALLS"]),
-    "DATA_FLOW": (["FUNCTION", "METHOD", "CLASS"], ["CALLS", "DEPENDS_ON"]),
+    "CALL_GRAPH": (["FUNCTION", "METHOD", "SYMBOL"], ["CALLS"]),
+    "DATA_FLOW": (["FUNCTION", "METHOD", "SYMBOL", "CONFIG"], ["CALLS", "DEPENDS_ON"]),
 }
 LANGUAGES = {".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".java": "java"}
 MOST_NODES = 5000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of a duration histogram's buckets, in seconds.
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
-PARSE_COMPLETED = "snapshot_id string, commit_sha string, artifact_count long, relation_count long, parser_result_version string"
+PARSE_COMPLETED = "snapshot_id string, commit_sha string, artifact_count long, relation_count long, deleted_paths array<string>, skipped_count long"
 
 
 def decoded_events(events: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
@@ -63,7 +63,7 @@ def claimable(jobs: DataFrame, running: DataFrame, most: int, most_tenant: int)
     """Queued jobs without a live lease whose tenant and the whole have room. running: job_id, tenant_id."""
     by_tenant = running.groupBy("tenant_id").agg(F.count("*").alias("tenant_running"))
     room = running.agg(F.count("*").alias("all_running"))
-    free = jobs.where("status = 'QUEUED'").join(running.select("job_id"), "job_id", "left_anti").join(by_tenant, "tenant_id", "left").crossJoin(F.broadcast(room))
+    free = jobs.where("status = 'PENDING'").join(running.select("job_id"), "job_id", "left_anti").join(by_tenant, "tenant_id", "left").crossJoin(F.broadcast(room))
     return free.where((F.coalesce("tenant_running", F.lit(0)) < most_tenant) & (F.col("all_running") < most)).drop("tenant_running", "all_running")
 
 
@@ -119,31 +119,63 @@ def sessions(events: DataFrame, at: str, gap: str, keys: list[str], late: str =
     return rows.groupBy(F.session_window(at, gap).alias("s"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("s.start").alias("start"), "n")
 
 
-#: Event types with the fields of their payloads, those that must be there, and those that may not be negative.
+#: The fields of each event type's payload. Kinds: string; text (a string that is not empty); count and one
+#: (whole numbers from 0 and from 1); flag; strings; texts (distinct, none empty); counts (an object of whole numbers from
+#: 0); samples (objects of record_type, record_id and error_code); a list: one of its values. A question mark: may be absent.
 SCHEMAS = {
-    "parse.completed.v1": (PARSE_COMPLETED, ["snapshot_id", "commit_sha"], ["artifact_count", "relation_count"]),
-    "parse.failed.v1": ("snapshot_id string, error_code string, retryable boolean", ["snapshot_id", "error_code"], []),
-    "graph.published.v1": ("snapshot_id string, graph_revision_id string, node_count long, edge_count long, quality_status string", ["snapshot_id", "graph_revision_id"], ["node_count", "edge_count"]),
-    "index.ready.v1": ("snapshot_id string, index_revision_id string, document_count long", ["snapshot_id", "index_revision_id"], ["document_count"]),
-    "wiki.published.v1": ("snapshot_id string, wiki_revision_id string, page_count long", ["snapshot_id", "wiki_revision_id"], ["page_count"]),
-    "qa.run.completed.v1": ("run_id string, citation_count long", ["run_id"], ["citation_count"]),
-    "proposal.applied.v1": ("proposal_id string, commit_sha string, file_count long", ["proposal_id", "commit_sha"], ["file_count"]),
+    "parse.completed.v1": {"snapshot_id": "string", "commit_sha": "string", "artifact_count": "count", "relation_count": "count", "deleted_paths": "strings?", "skipped_count": "count?"},
+    "parse.failed.v1": {"snapshot_id": "string", "error_code": "string", "retryable": "flag"},
+    "graph.published.v1": {
+        **dict.fromkeys(["tenant_id", "repository_id", "snapshot_id", "commit_sha", "revision_id", "event_id", "parser_result_version", "graph_schema_version", "algorithm_version", "build_policy_version"], "text"),
+        "quality_status": ["HEALTHY", "DEGRADED"],
+        **dict.fromkeys(["nodes", "edges", "unresolved_targets", "ambiguous_relations", "input_artifacts", "written_artifacts", "invalid_artifacts", "input_relations", "written_relations", "invalid_relations"], "count"),
+        "resolution_counts": "counts",
+        "error_counts": "counts",
+        "error_samples": "samples",
+        "trace_id": "text",
+    },
+    "index.ready.v1": {"revision_id": "text", "snapshot_id": "text", "commit_sha": "string", "documents": "count", "vectors": "count", "algorithm_version": "text"},
+    "wiki.published.v1": {"job_id": "text", "snapshot_id": "text", "graph_revision_id": "text", "page_ids": "texts", "page_count": "one", "locale": ["zh-CN", "en-US"], "model": "text", "prompt_version": "text", "token_usage": "count"},
+    "qa.run.completed.v1": {"run_id": "text", "conversation_id": "text", "snapshot_id": "text", "status": ["COMPLETED"], "citation_count": "count", "insufficient_evidence": "flag", "token_usage": "count", "latency_ms": "count", "model": "text", "prompt_version": "text"},
+    "proposal.applied.v1": {"proposal_id": "text", "session_id": "text", "snapshot_id": "text", "base_commit_sha": "text", "applied_commit_sha": "string", "file_count": "one", "principal_id": "text"},
 }
+#: Who sends each type.
+PRODUCERS = {"parse.completed.v1": "repository-parser", "parse.failed.v1": "repository-parser", "graph.published.v1": "code-knowledge-graph", "index.ready.v1": "code-rag", "wiki.published.v1": "ai-wiki", "proposal.applied.v1": "coding-assistant"}
+
+
+def conforms(field: str, kind: str | list[str], document: str) -> Column:
+    """Whether a field of a JSON document (a variant column) is of a kind of SCHEMAS."""
+    get = lambda t: F.try_variant_get(document, f"$.{field}", t)
+    shape, text, number = F.schema_of_variant(get("variant")), get("string"), get("bigint")
+    empty = shape.isin("ARRAY<VOID>", "ARRAY<>")
+    if isinstance(kind, list):
+        return (shape == "STRING") & text.isin(kind)
+    kind = kind.rstrip("?")
+    if kind == "samples":
+        return empty | ((shape == "ARRAY<OBJECT<error_code: STRING, record_id: STRING, record_type: STRING>>") & F.forall(get("array<struct<error_code: string, record_id: string, record_type: string>>"), lambda x: (x["error_code"] != "") & (x["record_id"] != "") & (x["record_type"] != "")))
+    if kind == "counts":
+        return shape.isin("OBJECT<>") | (shape.rlike("^OBJECT<[^<>]*>$") & ~shape.rlike(": (?!BIGINT)") & F.forall(F.map_values(get("map<string,bigint>")), lambda x: x >= 0))
+    if kind in ("strings", "texts"):
+        items = get("array<string>")
+        plain = empty | (shape == "ARRAY<STRING>")
+        return plain if kind == "strings" else plain & F.forall(items, lambda x: x != "") & (F.size(F.array_distinct(items)) == F.size(items))
+    return {"string": shape == "STRING", "text": (shape == "STRING") & (text != ""), "flag": shape == "BOOLEAN", "count": (shape == "BIGINT") & (number >= 0), "one": (shape == "BIGINT") & (number >= 1)}[kind]
 
 
 def schema_problems(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Events with the reason for which their payload does not conform to its type, or null; one pass, no split by type."""
     keys = F.json_object_keys(F.col(payload))
     reason = F.when(keys.isNull(), "invalid json")
-    for kind, (fields, required, counts) in SCHEMAS.items():
+    for kind, fields in SCHEMAS.items():
         own = F.col("event_type") == kind
-        names = F.array(*(F.lit(f.split()[0]) for f in fields.split(",")))
-        reason = reason.when(own & (F.size(F.array_except(keys, names)) > 0), "unknown field")
-        for r in required:
-            reason = reason.when(own & (F.coalesce(F.get_json_object(payload, f"$.{r}"), F.lit("")) == ""), f"missing {r}")
-        for c in counts:
-            reason = reason.when(own & (F.expr(f"try_cast(get_json_object({payload}, '$.{c}') AS BIGINT)") < 0), f"negative {c}")
-    return events.withColumn("reason", F.when(~F.col("event_type").isin(*SCHEMAS), "unknown type").otherwise(reason))
+        reason = reason.when(own & (F.size(F.array_except(keys, F.array(*map(F.lit, fields)))) > 0), "unknown field")
+        for field, shape in fields.items():
+            there = F.array_contains(keys, field)
+            if not str(shape).endswith("?"):
+                reason = reason.when(own & ~there, f"missing {field}")
+            reason = reason.when(own & there & ~F.coalesce(conforms(field, shape, "_document"), F.lit(False)), f"bad {field}")
+    told = events.withColumn("_document", F.try_parse_json(F.col(payload)))
+    return told.withColumn("reason", F.when(~F.coalesce(F.col("event_type").isin(*SCHEMAS), F.lit(False)), "unknown type").otherwise(reason)).drop("_document")
 
 
 def payloads(rows: DataFrame, kind: str, ident: Column, **fields: Column) -> DataFrame:
@@ -152,8 +184,8 @@ def payloads(rows: DataFrame, kind: str, ident: Column, **fields: Column) -> Dat
 
 
 def retried(jobs: DataFrame, most: int) -> DataFrame:
-    """Failed jobs that may be tried again, queued once more."""
-    return jobs.where((F.col("status") == "FAILED") & F.col("retryable") & (F.col("retry_count") < most)).withColumn("status", F.lit("QUEUED")).withColumn("retry_count", F.col("retry_count") + 1)
+    """Failed jobs that may be tried again, pending once more."""
+    return jobs.where((F.col("status") == "FAILED") & F.col("retryable") & (F.col("retry_count") < most)).withColumn("status", F.lit("PENDING")).withColumn("retry_count", F.col("retry_count") + 1)
 
 
 def baseline_conflicts(results: DataFrame, latest: DataFrame, keys: list[str]) -> DataFrame:

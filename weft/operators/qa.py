@@ -9,10 +9,10 @@ from weft.operators.wiki import CITATION
 
 #: Words that tell an intent, tried in this order, and the depth of its graph query.
 INTENTS = {
-    "CALL_CHAIN": (["call", "invoke", "调用", "链路"], 4),
-    "IMPACT": (["impact", "affect", "影响"], 3),
-    "TROUBLESHOOTING": (["error", "fail", "bug", "异常", "报错", "排查"], 2),
-    "ARCHITECTURE": (["architecture", "module", "design", "架构", "模块"], 2),
+    "CALL_CHAIN": (["调用链", "调用关系", "call chain", "calls", "调用路径"], 4),
+    "IMPACT_ANALYSIS": (["影响", "改动", "变更", "impact", "affected"], 3),
+    "TROUBLESHOOTING": (["故障", "报错", "失败", "排查", "bug", "error", "fail", "debug"], 2),
+    "ARCHITECTURE": (["架构", "模块", "设计", "architecture", "module", "design"], 2),
 }
 LONGEST_QUESTION, MOST_EVIDENCE, INSUFFICIENT = 8000, 30, "The evidence at hand is not sufficient for an answer."
 RISKS = ["LOW", "MEDIUM", "HIGH"]
@@ -72,12 +72,29 @@ def unpinned(runs: DataFrame) -> DataFrame:
     return runs.groupBy("conversation_id").agg(F.count_distinct("snapshot_id").alias("snapshots")).where("snapshots > 1")
 
 
+#: What may not stand after the headers of a change to one file.
+LIFECYCLE = ["\n--- a/", "\n+++ b/", "\n--- /dev/null", "\n+++ /dev/null", "diff --git ", "rename from ", "rename to ", "new file mode ", "deleted file mode "]
+
+
 def proposal_problem() -> Column:
-    """Why a file change is refused, or null: path, risk, headers of its unified diff, lines that would rename or delete."""
-    diff, path = F.col("unified_diff"), F.col("path")
-    headers = diff.contains(F.concat(F.lit("--- a/"), path)) & diff.contains(F.concat(F.lit("+++ b/"), path)) & diff.contains("@@")
-    lifecycle = diff.rlike(r"(?m)^(rename (from|to)|deleted file mode|new file mode|copy (from|to)|old mode|new mode|similarity index|GIT binary patch)")
-    return F.when(path.rlike(r"^/|(^|/)\.\.(/|$)") | (path == ""), "path").when(~F.col("risk").isin(RISKS), "risk").when(~headers, "header").when(lifecycle, "lifecycle")
+    """Why a file change is refused, or null: path, risk, hash of its base, textual diff, headers, changes of other files."""
+    path, diff = F.coalesce("path", F.lit("")), F.replace(F.coalesce("unified_diff", F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    clean = F.regexp_replace(F.trim(path), r"^(\./)+|/$", "")
+    head = F.concat(F.lit("--- a/"), clean, F.lit("\n+++ b/"), clean, F.lit("\n"))
+    rest = F.substring(diff, F.char_length(head) + 1, F.char_length(diff))
+    base = F.coalesce("base_content_hash", F.lit(""))
+    textual = (F.trim(diff, F.lit(" \t\n\r")) != "") & ~diff.contains("GIT binary patch") & ~diff.contains("\0")
+    other = F.lit(False)
+    for mark in LIFECYCLE:
+        other = other | rest.contains(mark)
+    return (
+        F.when(path.rlike(r"[\r\n\x00]|^/|(^|/)\.\.(/|$)") | clean.isin("", "."), "path")
+        .when(~F.coalesce(F.col("risk").isin(RISKS), F.lit(False)), "risk")
+        .when(~base.startswith("sha256:") | (F.char_length(base) < 15), "base hash")
+        .when(~textual, "text")
+        .when(~diff.startswith(head) | ~diff.contains("\n@@ "), "header")
+        .when(other, "lifecycle")
+    )
 
 
 def stale_proposals(changes: DataFrame, files: DataFrame) -> DataFrame:

@@ -148,7 +148,10 @@ def reranked(hits: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None =
     if rerank is None:
         return hits.orderBy(F.desc("score"), key).limit(k)
     found = rerank(hits)
-    foreign = found.join(hits, key, "left_anti").count()
+    same = [c for c in hits.columns if c != "score"]  # a reranker may only change scores
+    if missing := [c for c in same if c not in found.columns]:
+        raise ValueError(f"reranker: columns {missing} are gone")
+    foreign = found.select(*same).exceptAll(hits.select(*same)).count()
     twice = found.groupBy(key).count().where("count > 1").count()
     bad = found.where(F.col("score").isNull() | F.isnan("score") | (F.col("score") < 0) | (F.col("score") == float("inf"))).count()
     if foreign or twice or bad:

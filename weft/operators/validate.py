@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 ARTIFACT_KINDS = ["FILE", "MODULE", "CLASS", "INTERFACE", "FUNCTION", "METHOD", "IMPORT", "CONFIG", "DOCUMENT"]
 RELATION_KINDS = ["CONTAINS", "CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON"]
 SAMPLE = 20
-TRANSITIONS = [("QUEUED", "RUNNING"), ("QUEUED", "CANCELLED"), ("RUNNING", "SUCCEEDED"), ("RUNNING", "FAILED"), ("RUNNING", "CANCELLED"), ("RUNNING", "LOST"), ("FAILED", "QUEUED")]
+JOB_TRANSITIONS = [("PENDING", "BUILDING"), ("PENDING", "CANCELLED"), ("PENDING", "FAILED"), ("BUILDING", "SUCCEEDED"), ("BUILDING", "FAILED"), ("BUILDING", "CANCELLED")]
+ATTEMPT_TRANSITIONS = [("RUNNING", "SUCCEEDED"), ("RUNNING", "FAILED"), ("RUNNING", "LOST"), ("RUNNING", "CANCELLED")]
+CANDIDATE_TRANSITIONS = [("STAGING", "SEALED"), ("STAGING", "FAILED")]
 
 
 def valid_source_ref(ref: str = "source_ref") -> Column:
@@ -24,23 +26,46 @@ def valid_source_ref(ref: str = "source_ref") -> Column:
 def classify_artifacts(artifacts: DataFrame) -> DataFrame:
     """Artifacts with the first error code that holds, or null."""
     data = F.coalesce(F.trim("name"), F.lit("")) == ""
-    code = F.when(~F.coalesce(F.col("kind").isin(ARTIFACT_KINDS), F.lit(False)), "INVALID_ARTIFACT_TYPE").when(data, "INVALID_ARTIFACT_DATA").when(~valid_source_ref(), "INVALID_SOURCE_REF")
+    code = F.when(~F.coalesce(F.col("kind").isin(ARTIFACT_KINDS), F.lit(False)), "INVALID_ARTIFACT_TYPE").when(data, "INVALID_ARTIFACT_DATA").when(~valid_source_ref(), "INVALID_ARTIFACT_SOURCE_REF")
     return artifacts.withColumn("error_code", code)
 
 
 def classify_relations(relations: DataFrame, invalid: DataFrame) -> DataFrame:
-    """Relations with the first error code that holds, or null. invalid: artifact_id of artifacts that were refused."""
-    bad = invalid.select("artifact_id").distinct()
-    rows = relations
+    """Relations with the first error code that holds, or null. invalid: artifact_id of artifacts that were refused.
+
+    relations: from_ref, to_ref, kind, confidence and, where they are known, candidates (ids that an ambiguous name may mean),
+    evidence (a source reference), status (RESOLVED, EXTERNAL, AMBIGUOUS, UNRESOLVED) and external_identity."""
+    bad = invalid.select(F.col("artifact_id").alias("bad_id")).distinct()
+    rows, has = relations, set(relations.columns)
     for c in ("from_ref", "to_ref"):
-        rows = rows.join(bad.select(F.col("artifact_id").alias(f"bad_{c}")), F.col(c) == F.col(f"bad_{c}"), "left")
+        rows = rows.join(bad.select(F.col("bad_id").alias(f"bad_{c}")), F.col(c) == F.col(f"bad_{c}"), "left")
+    isolated = F.col("bad_from_ref").isNotNull() | F.col("bad_to_ref").isNotNull()
     confidence = F.col("confidence").cast("double")
+    more = F.when(F.lit(False), "")
+    if "candidates" in has:
+        each = relations.select("from_ref", "to_ref", "kind", "candidates").distinct().withColumn("candidate", F.explode("candidates")).join(bad, F.col("candidate") == F.col("bad_id"), "left_semi")
+        hit = each.select(F.col("from_ref").alias("hit_from"), F.col("to_ref").alias("hit_to"), F.col("kind").alias("hit_kind"), F.col("candidates").alias("hit_candidates")).distinct()
+        rows = rows.join(hit, F.col("from_ref").eqNullSafe(F.col("hit_from")) & F.col("to_ref").eqNullSafe(F.col("hit_to")) & F.col("kind").eqNullSafe(F.col("hit_kind")) & F.col("candidates").eqNullSafe(F.col("hit_candidates")), "left")
+        isolated = isolated | F.col("hit_candidates").isNotNull()
+    if "status" in has:
+        count = F.coalesce(F.size("candidates"), F.lit(0)) if "candidates" in has else F.lit(0)
+        outside = F.coalesce(F.trim("external_identity"), F.lit("")) != "" if "external_identity" in has else F.lit(False)
+        target = F.coalesce(F.trim("to_ref"), F.lit("")) != ""
+        known = F.coalesce(F.col("status"), F.lit(""))
+        more = (
+            F.when((known == "EXTERNAL") & (~outside | target | (count > 0)), "INVALID_EXTERNAL_IDENTITY")
+            .when((known == "AMBIGUOUS") & ((count < 2) | target | outside), "INVALID_AMBIGUOUS_RELATION")
+            .when((known == "UNRESOLVED") & (target | outside | (count > 0)), "INVALID_UNRESOLVED_RELATION")
+            .when(~known.isin("RESOLVED", "EXTERNAL", "AMBIGUOUS", "UNRESOLVED"), "INVALID_RESOLUTION_STATUS")
+        )
     code = (
-        F.when(F.col("bad_from_ref").isNotNull() | F.col("bad_to_ref").isNotNull(), "RELATION_REFERENCES_INVALID_ARTIFACT")
+        F.when(isolated, "RELATION_REFERENCES_INVALID_ARTIFACT")
         .when(~F.coalesce(F.col("kind").isin(RELATION_KINDS), F.lit(False)), "INVALID_RELATION_TYPE")
         .when(confidence.isNull() | F.isnan(confidence) | ~confidence.between(0, 1), "INVALID_RELATION_CONFIDENCE")
+        .when(~valid_source_ref("evidence") if "evidence" in has else F.lit(False), "INVALID_RELATION_SOURCE_REF")
+        .otherwise(more)
     )
-    return rows.withColumn("error_code", code).drop("bad_from_ref", "bad_to_ref")
+    return rows.withColumn("error_code", code).select(*relations.columns, "error_code")
 
 
 def split(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +109,7 @@ def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def illegal_transitions(history: DataFrame, key: str, status: str, order: list[str], allowed: list[tuple[str, str]] = TRANSITIONS) -> DataFrame:
+def illegal_transitions(history: DataFrame, key: str, status: str, order: list[str], allowed: list[tuple[str, str]] = JOB_TRANSITIONS) -> DataFrame:
     """Changes of status that are not allowed."""
     table = history.sparkSession.createDataFrame(allowed, "before string, after string")
     steps = history.select(key, F.lag(status).over(Window.partitionBy(key).orderBy(*order)).alias("before"), F.col(status).alias("after")).where("before IS NOT NULL AND before <> after")

@@ -120,7 +120,13 @@ def pages_of(spark, sf_dir):
 STOP = ", ".join(f"'{w}'" for w in X.NO_CALLS)
 
 
-@query("extract_calls", rf"WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS text, generate_subscripts(string_split(html, chr(10)), 1) AS line FROM pages), n AS (SELECT page_id, line, unnest(list_distinct(regexp_extract_all(text, '\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)\s*\(', 1))) AS name FROM l) SELECT page_id::VARCHAR AS path, line::INTEGER AS line, 'symbol:' || name AS target, 'CALLS' AS kind, 0.65::DOUBLE AS confidence FROM n WHERE name NOT IN ({STOP})")
+@query(
+    "extract_calls",
+    rf"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS text, generate_subscripts(string_split(html, chr(10)), 1) AS line FROM pages),
+         n AS (SELECT page_id, line, regexp_extract(text, '^\s*(?:export\s+|pub\s+|async\s+)*(?:def|function|fn|func|class)\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS declared,
+               unnest(list_distinct(regexp_extract_all(text, '\b([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?)\s*\(', 1))) AS name FROM l)
+       SELECT page_id::VARCHAR AS path, line::INTEGER AS line, 'symbol:' || name AS target, 'CALLS' AS kind, 0.65::DOUBLE AS confidence FROM n WHERE name NOT IN ({STOP}) AND name <> declared""",
+)
 def calls(spark, sf_dir):
     return X.calls(X.lines_of(pages_of(spark, sf_dir)))
 

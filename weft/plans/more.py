@@ -71,10 +71,25 @@ def node_rows(spark, sf_dir):
     return G.node_rows(rows).select("event_id", F.col("properties")["external_identity"].alias("external_identity"))
 
 
-@query("graph_published_events", f"WITH {NODES} SELECT 'graph.published.v1:' || entity_type AS event_id, 'graph.published.v1' AS event_type, entity_type AS aggregate_id, '{{\"snapshot_id\":\"s\",\"graph_revision_id\":\"' || entity_type || '\",\"node_count\":' || count(*) || '}}' AS payload FROM nodes GROUP BY entity_type")
+@query(
+    "graph_published_events",
+    f"""WITH {NODES} SELECT 'graph.published.v1:' || entity_type AS event_id, 'graph.published.v1' AS event_type, entity_type AS aggregate_id,
+        '{{"tenant_id":"t","repository_id":"r","snapshot_id":"s","commit_sha":"c","revision_id":"' || entity_type || '","event_id":"' || entity_type
+        || '","parser_result_version":"1","graph_schema_version":"1","algorithm_version":"1","build_policy_version":"1","quality_status":"HEALTHY","nodes":' || count(*)
+        || ',"edges":0,"unresolved_targets":0,"ambiguous_relations":0,"input_artifacts":' || count(*) || ',"written_artifacts":' || count(*)
+        || ',"invalid_artifacts":0,"input_relations":0,"written_relations":0,"invalid_relations":0,"resolution_counts":{{}},"error_counts":{{}},"error_samples":[],"trace_id":"t"}}' AS payload,
+        NULL::VARCHAR AS reason FROM nodes GROUP BY entity_type""",
+)
 def published(spark, sf_dir):
     rows = nodes_of(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("n"))
-    return O.payloads(rows, "graph.published.v1", F.col("entity_type"), snapshot_id=F.lit("s"), graph_revision_id=F.col("entity_type"), node_count=F.col("n"))
+    n, zero, of = F.col("n"), F.lit(0), F.col("entity_type")
+    ids = {"tenant_id": F.lit("t"), "repository_id": F.lit("r"), "snapshot_id": F.lit("s"), "commit_sha": F.lit("c"), "revision_id": of, "event_id": of}
+    versions = {c: F.lit("1") for c in ("parser_result_version", "graph_schema_version", "algorithm_version", "build_policy_version")}
+    counts = {"nodes": n, "edges": zero, "unresolved_targets": zero, "ambiguous_relations": zero, "input_artifacts": n, "written_artifacts": n, "invalid_artifacts": zero, "input_relations": zero, "written_relations": zero, "invalid_relations": zero}
+    none = F.create_map().cast("map<string,int>")
+    samples = F.array().cast("array<struct<record_type: string, record_id: string, error_code: string>>")
+    events = O.payloads(rows, "graph.published.v1", of, **ids, **versions, quality_status=F.lit("HEALTHY"), **counts, resolution_counts=none, error_counts=none, error_samples=samples, trace_id=F.lit("t"))
+    return O.schema_problems(events)
 
 
 @query("diagram_source_links", f"WITH {NODES} SELECT node_id, 'c' AS commit_sha, entity_type || '/' || name AS path FROM nodes WHERE entity_type IN ('MODULE', 'REPOSITORY')")
@@ -92,11 +107,12 @@ def pruned(spark, sf_dir):
 KIND = "CASE event_id % 4 WHEN 0 THEN 'index.ready.v1' WHEN 1 THEN 'wiki.published.v1' WHEN 2 THEN 'parse.failed.v1' ELSE 'no.such.v1' END"
 
 
-@query("ops_event_schemas", f"SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'unknown type' WHEN event_id % 4 = 1 THEN 'unknown field' WHEN event_id % 4 = 2 THEN 'unknown field' WHEN event_id % 5 = 0 THEN 'negative document_count' END AS reason FROM events")
+@query("ops_event_schemas", f"SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'unknown type' WHEN event_id % 4 = 1 THEN 'unknown field' WHEN event_id % 4 = 2 THEN 'unknown field' WHEN event_id % 3 = 0 THEN 'bad revision_id' WHEN event_id % 5 = 0 THEN 'bad documents' WHEN event_id % 7 = 0 THEN 'missing algorithm_version' END AS reason FROM events")
 def schemas(spark, sf_dir):
     e = F.col("event_id")
     kind = F.when(e % 4 == 0, "index.ready.v1").when(e % 4 == 1, "wiki.published.v1").when(e % 4 == 2, "parse.failed.v1").otherwise("no.such.v1")
-    payload = F.to_json(F.struct(F.lit("s").alias("snapshot_id"), F.lit("i").alias("index_revision_id"), F.when(e % 5 == 0, -1).otherwise(1).alias("document_count")))
+    revision, version = F.when(e % 3 == 0, "").otherwise("i"), F.when(e % 7 != 0, "1")
+    payload = F.to_json(F.struct(revision.alias("revision_id"), F.lit("s").alias("snapshot_id"), F.lit("").alias("commit_sha"), F.when(e % 5 == 0, -1).otherwise(1).alias("documents"), F.lit(0).alias("vectors"), version.alias("algorithm_version")))
     return O.schema_problems(table(spark, sf_dir, "events").select("event_id", kind.alias("event_type"), payload.alias("payload"))).select("event_id", "reason")
 
 
@@ -184,7 +200,7 @@ def revision_mismatches(spark, sf_dir):
     return V.mismatches(rows, other, "o_orderkey", ["o_orderstatus", "o_totalprice"]).select("o_orderkey", F.array_join("different", ",").alias("different"))
 
 
-@query("quality_artifacts", "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'INVALID_ARTIFACT_TYPE' WHEN p_partkey % 8 = 0 THEN 'INVALID_ARTIFACT_DATA' WHEN p_size % 7 = 0 OR p_partkey % 11 = 0 THEN 'INVALID_SOURCE_REF' END AS error_code FROM part")
+@query("quality_artifacts", "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'INVALID_ARTIFACT_TYPE' WHEN p_partkey % 8 = 0 THEN 'INVALID_ARTIFACT_DATA' WHEN p_size % 7 = 0 OR p_partkey % 11 = 0 THEN 'INVALID_ARTIFACT_SOURCE_REF' END AS error_code FROM part")
 def artifacts(spark, sf_dir):
     k = F.col("p_partkey")
     ref = F.struct(F.lit("c").alias("commit_sha"), F.when(k % 11 == 0, "../x").otherwise(F.col("p_name")).alias("path"), F.lit(1).alias("start_line"), (F.col("p_size") % 7).alias("end_line"))

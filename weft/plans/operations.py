@@ -84,7 +84,7 @@ def orphans(spark, sf_dir):
 
 @query("ops_claimable", "WITH r AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 10 = 0), t AS (SELECT o_custkey, count(*) AS n FROM r GROUP BY 1) SELECT o_orderkey AS job_id FROM orders LEFT JOIN t USING (o_custkey) WHERE o_orderstatus = 'O' AND o_orderkey % 10 <> 0 AND coalesce(n, 0) < 2")
 def claimable(spark, sf_dir):
-    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("tenant_id"), F.when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("DONE").alias("status"))
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("tenant_id"), F.when(F.col("o_orderstatus") == "O", "PENDING").otherwise("DONE").alias("status"))
     return O.claimable(jobs, jobs.where("job_id % 10 = 0").select("job_id", "tenant_id"), 1 << 40, 2).select("job_id")
 
 
@@ -130,9 +130,19 @@ def sessions(spark, sf_dir):
     return O.sessions(events_of(spark, sf_dir), "ts", "6 hours", ["user_id"])
 
 
-@query("ops_transitions", "SELECT user_id, before, event_type AS after, count(*) AS n FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before <> event_type AND NOT (before = 'view' AND event_type = 'click') AND NOT (before = 'click' AND event_type = 'purchase') GROUP BY ALL")
+@query(
+    "ops_transitions",
+    """WITH h AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'BUILDING' WHEN 'click' THEN 'SUCCEEDED' WHEN 'purchase' THEN 'CANCELLED' ELSE 'FAILED' END AS status FROM events),
+         s AS (SELECT user_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM h)
+       SELECT user_id, before, status AS after, count(*) AS n FROM s WHERE before <> status
+       AND NOT (before = 'PENDING' AND status IN ('BUILDING', 'CANCELLED', 'FAILED')) AND NOT (before = 'BUILDING' AND status IN ('SUCCEEDED', 'FAILED', 'CANCELLED')) GROUP BY ALL""",
+)
 def transitions(spark, sf_dir):
-    return V.illegal_transitions(events_of(spark, sf_dir), "user_id", "event_type", ["ts", "event_id"], [("view", "click"), ("click", "purchase")]).groupBy("user_id", "before", "after").agg(F.count("*").alias("n"))
+    """Events of a user as the statuses of one build job."""
+    of = F.col("event_type")
+    status = F.when(of == "signup", "PENDING").when(of == "view", "BUILDING").when(of == "click", "SUCCEEDED").when(of == "purchase", "CANCELLED").otherwise("FAILED")
+    history = events_of(spark, sf_dir).withColumn("status", status)
+    return V.illegal_transitions(history, "user_id", "status", ["ts", "event_id"]).groupBy("user_id", "before", "after").agg(F.count("*").alias("n"))
 
 
 @query("tables_newest", "SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -196,10 +206,10 @@ def revisions(spark, sf_dir):
     return W.revision_numbers(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "revision_no", "superseded")
 
 
-INTENT = "CASE WHEN contains(q, 'call') OR contains(q, 'invoke') THEN 'CALL_CHAIN' WHEN contains(q, 'impact') OR contains(q, 'affect') THEN 'IMPACT' WHEN contains(q, 'error') OR contains(q, 'fail') OR contains(q, 'bug') THEN 'TROUBLESHOOTING' WHEN contains(q, 'architecture') OR contains(q, 'module') OR contains(q, 'design') THEN 'ARCHITECTURE' ELSE 'GENERAL' END"
+INTENT = "CASE WHEN contains(q, '调用链') OR contains(q, '调用关系') OR contains(q, 'call chain') OR contains(q, 'calls') OR contains(q, '调用路径') THEN 'CALL_CHAIN' WHEN contains(q, '影响') OR contains(q, '改动') OR contains(q, '变更') OR contains(q, 'impact') OR contains(q, 'affected') THEN 'IMPACT_ANALYSIS' WHEN contains(q, '故障') OR contains(q, '报错') OR contains(q, '失败') OR contains(q, '排查') OR contains(q, 'bug') OR contains(q, 'error') OR contains(q, 'fail') OR contains(q, 'debug') THEN 'TROUBLESHOOTING' WHEN contains(q, '架构') OR contains(q, '模块') OR contains(q, '设计') OR contains(q, 'architecture') OR contains(q, 'module') OR contains(q, 'design') THEN 'ARCHITECTURE' ELSE 'GENERAL' END"
 
 
-@query("qa_intent", f"SELECT conv_id, turn, {INTENT} AS intent, CASE {INTENT} WHEN 'CALL_CHAIN' THEN 4 WHEN 'IMPACT' THEN 3 WHEN 'GENERAL' THEN 1 ELSE 2 END AS depth FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user')")
+@query("qa_intent", f"SELECT conv_id, turn, {INTENT} AS intent, CASE {INTENT} WHEN 'CALL_CHAIN' THEN 4 WHEN 'IMPACT_ANALYSIS' THEN 3 WHEN 'GENERAL' THEN 1 ELSE 2 END AS depth FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user')")
 def intent(spark, sf_dir):
     i = Q.intent(F.col("text"))
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", i.alias("intent"), Q.depth(i).alias("depth"))

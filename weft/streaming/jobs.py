@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weft.operators.ops import PARSE_COMPLETED, decoded_events, event_problem
+from weft.operators.ops import PARSE_COMPLETED, PRODUCERS, event_problem, schema_problems
 
 ENVELOPE = "event_id string, event_type string, aggregate_id string, occurred_at timestamp, producer string, payload_version int, trace_id string, payload string, tenant_id string, repository_id string"
-#: Event types and who sends them.
-PRODUCERS = {"parse.completed.v1": "parser", "parse.failed.v1": "parser"}
+#: The event types that the consumer takes.
+TAKEN = {k: PRODUCERS[k] for k in ("parse.completed.v1", "parse.failed.v1")}
 
 
 def event_files(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -22,18 +22,22 @@ def event_files(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def sorted_out(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Build requests, and rejected events with the reason and a digest of their payload; failures of parsing are neither."""
-    rows = decoded_events(events, PARSE_COMPLETED)
+def sorted_out(events: DataFrame, parser_version: str = "") -> tuple[DataFrame, DataFrame]:
+    """Build requests, and rejected events with the reason and a digest of their payload; failures of parsing are neither.
+
+    parser_version: the version of parsers whose results the builds are of, which is part of a build's fingerprint."""
+    rows = schema_problems(events).withColumn("p", F.from_json("payload", PARSE_COMPLETED))
     p = F.col("p")
-    missing = F.coalesce(p["snapshot_id"], F.lit("")) == ""
-    negative = (p["artifact_count"] < 0) | (p["relation_count"] < 0)
     completed = F.col("event_type") == "parse.completed.v1"
-    reason = F.coalesce(event_problem(PRODUCERS), F.when(completed, F.coalesce(F.col("reason"), F.when(missing, "snapshot_id").when(negative, "counts"))))
-    told = rows.withColumn("reason", reason)
-    good = told.where(completed & F.col("reason").isNull()).select("event_id", "tenant_id", "repository_id", p["snapshot_id"].alias("snapshot_id"), F.sha2(F.concat_ws("\0", "tenant_id", "repository_id", p["snapshot_id"], p["parser_result_version"]).cast("binary"), 256).alias("fingerprint"))
-    bad = told.where("reason IS NOT NULL").select("event_id", "event_type", "reason", F.sha2(F.coalesce("payload", F.lit("")).cast("binary"), 256).alias("payload_digest"))
-    return good, bad
+    blank = F.when(completed & (F.coalesce(F.trim(p["snapshot_id"]), F.lit("")) == ""), "snapshot_id")
+    told = rows.withColumn("reason", F.coalesce(event_problem(TAKEN), F.col("reason"), blank))
+    good = told.where(completed & F.col("reason").isNull()).select("event_id", "event_type", "payload", "tenant_id", "repository_id", p["snapshot_id"].alias("snapshot_id"), F.sha2(F.concat_ws("\0", "tenant_id", "repository_id", p["snapshot_id"], F.lit(parser_version)).cast("binary"), 256).alias("fingerprint"))
+    return good, rejections(told.where("reason IS NOT NULL"))
+
+
+def rejections(rows: DataFrame) -> DataFrame:
+    """event_id, event_type, reason and a digest of the payload."""
+    return rows.select("event_id", "event_type", "reason", F.sha2(F.coalesce("payload", F.lit("")).cast("binary"), 256).alias("payload_digest"))
 
 
 def appended(rows: DataFrame, path: str, key: str, batch: int) -> None:
@@ -54,9 +58,11 @@ def consume(events: DataFrame, requests: str, rejected: str, checkpoint: str, mo
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         good, bad = sorted_out(rows)
-        if most_pending is not None:
-            good = good.orderBy("event_id").limit(most_pending)
-        appended(good, requests, "fingerprint", number)
+        if most_pending is not None:  # what is over the limit is told, not lost
+            taken = good.orderBy("event_id").limit(most_pending)
+            bad = bad.union(rejections(good.join(taken.select("event_id"), "event_id", "left_anti").withColumn("reason", F.lit("over the limit of pending builds"))))
+            good = taken
+        appended(good.drop("event_type", "payload"), requests, "fingerprint", number)
         appended(bad, rejected, "event_id", number)
         rows.unpersist()
 
