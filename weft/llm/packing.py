@@ -34,9 +34,9 @@ RANGE_BYTES, MOST_RANGES = 12 << 20, 100_000
 PART = 1 << 12
 DIMENSIONS, BITS, HASHED, SEED = 3, 10, 1024, 11
 #: Distinct words that a worker remembers in each of two generations.
-CACHED = 700_000
+CACHED = 300_000
 #: Characters of a step: words are made distinct in each step before any of them is looked up.
-STEP = 6_000_000
+STEP = 4_000_000
 #: New words are given to the library side by side, SEPARATED by a mark that stands for one id of its own.
 MARK, SEPARATED = "\x01", 500
 
