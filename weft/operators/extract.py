@@ -166,3 +166,13 @@ def parts(files: DataFrame) -> DataFrame:
                     yield pd.DataFrame(found, columns=["path", "kind", "name", "qualified_name", "owner", "start_line", "end_line", "bases"])
 
     return files.select("path", F.col("content").cast("string").alias("content"), "parser").mapInPandas(run, PARTS)
+
+
+#: Fixed value: what the version of a set of parsers begins with.
+PARSER_SET = "registry@2:"
+
+
+def parser_set_versions(parsers: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """For each key the version of its whole set of parsers: a digest of the sorted distinct versions."""
+    joined = F.array_join(F.array_sort(F.collect_set(version)), "\0")
+    return parsers.groupBy(*keys).agg(F.concat(F.lit(PARSER_SET), F.substring(F.sha2(joined.cast("binary"), 256), 1, 16)).alias("parser_set"))

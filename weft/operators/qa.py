@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions.paths import canonical_path
 from weft.operators.wiki import CITATION
 
 #: Words that tell an intent, tried in this order, and the depth of its graph query.
@@ -134,3 +135,9 @@ def answer_text(rows: DataFrame, key: str, line: Column, order: list[str], most:
     first = numbered.withColumn("i", place).where(F.col("i") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: F.concat(x["i"].cast("string"), F.lit(". "), x["line"])), "\n").alias("lines"))
     counts = rows.groupBy(key).agg(F.count("*").alias("facts"))
     return first.join(counts, key).select(key, F.concat(F.col("facts").cast("string"), F.lit(" facts\n"), F.col("lines")).alias("answer"))
+
+
+def file_hashes(artifacts: DataFrame, cited: DataFrame, commit: str) -> DataFrame:
+    """path and content_hash of the files of one commit whose paths are cited; other artifacts and commits have no say."""
+    files = artifacts.where((F.col("kind") == "FILE") & (F.col("commit_sha") == commit)).withColumn("path", canonical_path(F.col("path")))
+    return files.join(cited.select(canonical_path(F.col("path")).alias("path")), "path", "left_semi").select("path", "content_hash")

@@ -89,3 +89,10 @@ def page_problems(generated: DataFrame, wanted: list[str], citations_at_hand: in
 def totals(rows: DataFrame, key: str, citations_column: str, text: str) -> DataFrame:
     """Citations and bytes of text of each key."""
     return rows.groupBy(key).agg(F.sum(F.size(citations_column)).alias("citations"), F.sum(F.octet_length(text)).alias("bytes"))
+
+
+def refused_graphs(revisions: DataFrame, nodes: DataFrame, key: str, limit: int) -> DataFrame:
+    """Revisions of which no page is made, with the reason: their graph has no nodes, or more than the limit lets through."""
+    counts = nodes.groupBy(key).agg(F.count("*").alias("n"))
+    reason = F.when(F.col("n").isNull(), "empty").when(F.col("n") > limit, "truncated")
+    return revisions.select(key).join(counts, key, "left").withColumn("reason", reason).where("reason IS NOT NULL").select(key, "reason")

@@ -97,3 +97,8 @@ def limited_stream(calls: DataFrame, capacity: int, seconds: float) -> DataFrame
         state.update((float(opened), int(used)))
 
     return calls.groupBy("key").applyInPandasWithState(decide, "key string, at timestamp, cost int, allowed boolean", "opened double, used int", "append", GroupStateTimeout.NoTimeout)
+
+
+def event_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Publish events to a table, each event_id once, whichever batch brings it again."""
+    return events.writeStream.foreachBatch(lambda rows, number: appended(rows, path, "event_id", number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
