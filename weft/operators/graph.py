@@ -36,11 +36,10 @@ def missing_sources(relations: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def resolve_symbols(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbol references resolved by name: one match RESOLVED, several AMBIGUOUS with sorted candidates, none UNRESOLVED;
-    modules and packages are EXTERNAL. symbols: name, artifact_id."""
+    modules and packages are EXTERNAL. symbols: name, artifact_id. Candidates are gathered once a name, before the join."""
+    by_name = symbols.groupBy(F.col("name").alias("_name")).agg(F.array_sort(F.collect_set("artifact_id")).alias("candidates"))
     name = F.when(F.col("to_ref").startswith("symbol:"), F.substring_index("to_ref", ":", -1))
-    asked = relations.withColumn("name", name)
-    found = asked.where("name IS NOT NULL").select("relation_id", "name").join(symbols, "name").groupBy("relation_id").agg(F.array_sort(F.collect_set("artifact_id")).alias("candidates"))
-    rows = asked.drop("name").join(found, "relation_id", "left")
+    rows = relations.withColumn("_name", name).join(by_name, "_name", "left").drop("_name")
     n = F.coalesce(F.size("candidates"), F.lit(0))
     external = F.col("to_ref").rlike("^(module|package):")
     return rows.withColumn("status", F.when(external, "EXTERNAL").when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise(ISSUE)).withColumn("target", F.when(n == 1, F.get("candidates", F.lit(0))))

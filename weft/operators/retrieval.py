@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.operators.graph import cut
 
 #: Weights of the strategies, BM25's parameters, scores of graph seeds and their neighbours.
 WEIGHTS = {"SYMBOL": 0.35, "KEYWORD": 0.25, "SEMANTIC": 0.25, "GRAPH": 0.15}
@@ -66,11 +67,12 @@ def occurrences(words: str, token: str) -> Column:
 def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", words: str = "tokens") -> DataFrame:
     """key and keyword score of every document that holds a query token, divided by the highest.
 
-    Term counts are taken inside each row, so that no token is shuffled; statistics are one aggregate row."""
+    Term counts are taken inside each row, so that no token is shuffled, and checkpointed (a few
+    numbers a row), so that texts are read and tokenised once; statistics are one aggregate row."""
     query = list(dict.fromkeys(query))
-    rows = docs.select(key, F.size(words).alias("len"), *(occurrences(words, q).alias(f"tf{i}") for i, q in enumerate(query)))
     if not query:
-        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    rows = cut(docs.select(key, F.size(words).alias("len"), *(occurrences(words, q).alias(f"tf{i}") for i, q in enumerate(query))))
     stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     total = F.lit(0.0)
