@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weft.llm import bpe, exact_dedup, packing, pii, simhash, suffix_tree, token_counts, topk, toxicity, warc
+from weft.llm import bpe, collocations, exact_dedup, hard_negatives, packing, pii, simhash, suffix_tree, token_counts, token_files, topk, toxicity, warc
 from weft.llm.common import table
 
 QUERIES: dict = {
@@ -18,10 +18,15 @@ QUERIES: dict = {
     "op8_simhash": lambda spark, sf_dir: simhash.near_groups(table(spark, sf_dir, "documents")),
     "op9_toxicity": lambda spark, sf_dir: toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_token_counts": lambda spark, sf_dir: token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op11_hard_negatives": lambda spark, sf_dir: hard_negatives.mined(hard_negatives.noisy_labels(table(spark, sf_dir, "embeddings"))),
+    "op12_token_files": lambda spark, sf_dir: token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "op13_collocations": lambda spark, sf_dir: collocations.phrases(table(spark, sf_dir, "documents")),
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_topk": topk.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
