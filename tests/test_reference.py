@@ -11,6 +11,7 @@ from weft.functions import paths as P
 from weft.functions import text as T
 from weft.operators import changes as C
 from weft.operators import extract as X
+from weft.operators import structure
 from weft.operators import governance as A
 from weft.operators import graph as G
 from weft.operators import layout as L
@@ -103,7 +104,7 @@ JAVA = "package x;\n/* class No { */\npublic class A extends B implements C, D {
 
 def test_extraction(spark):
     rows = spark.createDataFrame([("a.py", PYTHON, "python"), ("A.java", JAVA, "java")], "path string, content string, parser string")
-    found = {(r.path, r.kind, r.qualified_name): (r.start_line, r.end_line) for r in X.parts(rows).collect()}
+    found = {(r.path, r.kind, r.qualified_name): (r.start_line, r.end_line) for r in structure.parts(rows).collect()}
     assert found == {("a.py", "CLASS", "Service"): (3, 6), ("a.py", "METHOD", "Service.run"): (4, 6), ("a.py", "FUNCTION", "main"): (8, 9), ("A.java", "CLASS", "A"): (3, 7), ("A.java", "METHOD", "A.size"): (4, 6)}
     lines = X.lines_of(rows)
     assert {r.target for r in X.imports(lines).collect()} == {"module:os"}

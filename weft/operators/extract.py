@@ -1,11 +1,10 @@
 """Artifacts and relations out of source files.
 
-Calls, imports, bases and manifests are column expressions over lines. Nested structure needs the lines above it, so each
-file (bounded by the admission rule) is read by one pure function per language inside a pandas map."""
+Calls, imports, bases and manifests are column expressions over lines, for files without a parser of their own. Nested
+structure, with calls bound to their functions, is `weft.operators.structure`."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 NO_CALLS = ["if", "for", "while", "switch", "catch", "return", "new", "function", "def", "class", "super", "this"]
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 CONFIDENCE = {"CALLS": 0.65, "IMPORTS": 1.0, "EXTENDS": 0.9, "IMPLEMENTS": 0.9, "DEPENDS_ON": 0.95, "CONTAINS": 1.0}
-PARTS = "path string, kind string, name string, qualified_name string, owner string, start_line int, end_line int, bases array<string>"
 
 
 def lines_of(files: DataFrame, content: str = "content") -> DataFrame:
@@ -101,73 +99,6 @@ def brace_depth(lines: DataFrame) -> DataFrame:
     return lines.withColumn("depth", F.sum(balance).over(Window.partitionBy("path").orderBy("line")))
 
 
-def python_parts(path: str, content: str) -> list[tuple]:
-    """Classes, functions and methods of a Python file, nested by indentation."""
-    lines, found, open_parts = content.split("\n"), [], []
-    for n, line in enumerate(lines, 1):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        indent = len(line) - len(line.lstrip())
-        while open_parts and indent <= open_parts[-1][0]:
-            open_parts.pop()
-        for _, part in open_parts:
-            part["end"] = n
-        m = re.match(r"\s*(?:async\s+)?(class|def)\s+(\w+)\s*(?:\(([^)]*)\))?", line)
-        if m:
-            owner = open_parts[-1][1] if open_parts else None
-            kind = "CLASS" if m[1] == "class" else "METHOD" if owner and owner["kind"] == "CLASS" else "FUNCTION"
-            up = [b.strip() for b in (m[3] or "").split(",") if b.strip() and "=" not in b] if kind == "CLASS" else []
-            part = {"kind": kind, "name": m[2], "qualified": f"{owner['qualified']}.{m[2]}" if owner else m[2], "owner": owner and owner["qualified"], "start": n, "end": n, "bases": up}
-            found.append(part)
-            open_parts.append((indent, part))
-    return [(path, p["kind"], p["name"], p["qualified"], p["owner"], p["start"], p["end"], p["bases"]) for p in found]
-
-
-def braced_parts(path: str, content: str) -> list[tuple]:
-    """Types and functions of a language with braces (TypeScript, Java, Rust, Go), nested by depth."""
-    types = re.compile(r"\b(class|interface|struct|enum|trait|impl|mod)\s+(\w+)(?:\s+for\s+(\w+))?")
-    functions = re.compile(r"(?:\b(?:function|fn|func)\s+(?:\([^)]*\)\s*)?(\w+)\s*[(<]|^\s*(?:(?:public|private|protected|static|final|async|override)\s+)*(?:[\w<>\[\]]+\s+)?(\w+)\s*\([^;]*\)\s*(?::\s*[\w<>\[\]]+\s*)?\{)")
-    found, open_parts, depth, comment = [], [], 0, False
-    for n, line in enumerate(content.split("\n"), 1):
-        bare = re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|//.*', "", line)
-        if comment:
-            head, end, bare = bare.partition("*/")
-            comment = not end
-        bare = re.sub(r"/\*.*?\*/", "", bare)
-        if "/*" in bare:
-            bare, comment = bare.partition("/*")[0], True
-        m = types.search(bare)
-        f = None if m else functions.search(bare)
-        name = (m[3] or m[2]) if m else f and (f[1] or f[2])
-        if name and name not in NO_CALLS:
-            owner = open_parts[-1][1] if open_parts else None
-            kind = {"interface": "INTERFACE", "trait": "INTERFACE", "mod": "MODULE", "impl": "CLASS"}.get(m[1], "CLASS") if m else "METHOD" if owner and owner["kind"] in ("CLASS", "INTERFACE") else "FUNCTION"
-            part = {"kind": kind, "name": name, "qualified": f"{owner['qualified']}.{name}" if owner else name, "owner": owner and owner["qualified"], "start": n, "end": n}
-            if not (m and m[1] == "impl"):
-                found.append(part)
-            if "{" in bare:
-                open_parts.append((depth, part))
-        depth += bare.count("{") - bare.count("}")
-        while open_parts and depth <= open_parts[-1][0]:
-            open_parts.pop()[1]["end"] = n
-    return [(path, p["kind"], p["name"], p["qualified"], p["owner"], p["start"], p["end"], []) for p in found]
-
-
-LANGUAGES = {"python": python_parts, "typescript": braced_parts, "java": braced_parts, "rust": braced_parts, "go": braced_parts}
-
-
-def parts(files: DataFrame) -> DataFrame:
-    """Structure of every file with a parser (path, content, parser), one file in memory at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                if row.parser in LANGUAGES and (found := LANGUAGES[row.parser](row.path, row.content)):
-                    yield pd.DataFrame(found, columns=["path", "kind", "name", "qualified_name", "owner", "start_line", "end_line", "bases"])
-
-    return files.select("path", F.col("content").cast("string").alias("content"), "parser").mapInPandas(run, PARTS)
-
-
 #: Fixed value: what the version of a set of parsers begins with.
 PARSER_SET = "registry@2:"
 

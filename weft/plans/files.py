@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions import paths as P
 from weft.operators import changes as C
 from weft.operators import extract as X
+from weft.operators import structure as S
 from weft.plans.registry import query
 from weft.sources.tables import table
 
@@ -140,7 +141,7 @@ def sources_of(spark, sf_dir):
 
 @query("extract_python", "SELECT 'src/s' || s_suppkey || '.py' AS path, unnest(['CLASS', 'METHOD', 'METHOD', 'FUNCTION']) AS kind, unnest(['Supplier' || s_suppkey, 'Supplier' || s_suppkey || '.name', 'Supplier' || s_suppkey || '.balance', 'run' || s_suppkey]) AS qualified_name, unnest([3, 4, 7, 10]) AS start_line, unnest([8, 5, 8, 11]) AS end_line FROM supplier")
 def python(spark, sf_dir):
-    return X.parts(sources_of(spark, sf_dir)).select("path", "kind", "qualified_name", "start_line", "end_line")
+    return S.parts(sources_of(spark, sf_dir)).select("path", "kind", "qualified_name", "start_line", "end_line")
 
 
 @query("extract_imports", "SELECT 'src/s' || s_suppkey || '.py' AS path, 1 AS line, 'module:base_' || s_nationkey AS target, 'IMPORTS' AS kind, 1.0::DOUBLE AS confidence FROM supplier")
