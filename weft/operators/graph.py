@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import stable_id
@@ -15,11 +15,22 @@ LIMIT, CHAIN_DEPTH, MOST_CHAIN_DEPTH, CHAIN_LIMIT = 500, 2, 6, 100
 ISSUE = "UNRESOLVED"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster shares; one of our own only where none is set."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a session without a cluster may do without that setting, and gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that the cluster shares."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -39,14 +39,15 @@ def classify_relations(relations: DataFrame, invalid: DataFrame) -> DataFrame:
     rows, has = relations, set(relations.columns)
     for c in ("from_ref", "to_ref"):
         rows = rows.join(bad.select(F.col("bad_id").alias(f"bad_{c}")), F.col(c) == F.col(f"bad_{c}"), "left")
-    isolated = F.col("bad_from_ref").isNotNull() | F.col("bad_to_ref").isNotNull()
+    is_now = lambda status: F.coalesce(F.col("status") == status, F.lit(False)) if "status" in has else F.lit(True)
+    isolated = F.col("bad_from_ref").isNotNull() | (F.col("bad_to_ref").isNotNull() & is_now("RESOLVED"))
     confidence = F.col("confidence").cast("double")
     more = F.when(F.lit(False), "")
     if "candidates" in has:
         each = relations.select("from_ref", "to_ref", "kind", "candidates").distinct().withColumn("candidate", F.explode("candidates")).join(bad, F.col("candidate") == F.col("bad_id"), "left_semi")
         hit = each.select(F.col("from_ref").alias("hit_from"), F.col("to_ref").alias("hit_to"), F.col("kind").alias("hit_kind"), F.col("candidates").alias("hit_candidates")).distinct()
         rows = rows.join(hit, F.col("from_ref").eqNullSafe(F.col("hit_from")) & F.col("to_ref").eqNullSafe(F.col("hit_to")) & F.col("kind").eqNullSafe(F.col("hit_kind")) & F.col("candidates").eqNullSafe(F.col("hit_candidates")), "left")
-        isolated = isolated | F.col("hit_candidates").isNotNull()
+        isolated = isolated | (F.col("hit_candidates").isNotNull() & is_now("AMBIGUOUS"))
     if "status" in has:
         count = F.coalesce(F.size("candidates"), F.lit(0)) if "candidates" in has else F.lit(0)
         outside = F.coalesce(F.trim("external_identity"), F.lit("")) != "" if "external_identity" in has else F.lit(False)

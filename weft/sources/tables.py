@@ -58,21 +58,6 @@ def active(revisions: DataFrame, pointers: DataFrame, keys: list[str]) -> DataFr
     return found.groupBy(*keys, "revision_id").agg(F.count("stored_id").alias("n")).withColumn("valid", F.col("n") == 1)
 
 
-def publish(rows: DataFrame, path: str, revision: str, content_hash: str) -> bool:
-    """Write an immutable revision and move the pointer to it; False if the pointer's content is the same already."""
-    spark = rows.sparkSession
-    pointer = f"{path}/pointer"
-    try:
-        if spark.read.json(pointer).where(F.col("content_hash") == content_hash).limit(1).count():
-            return False
-    except Exception as e:  # the first publication
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.write.mode("errorifexists").parquet(f"{path}/revision={revision}")
-    spark.createDataFrame([(revision, content_hash)], "revision_id string, content_hash string").coalesce(1).write.mode("overwrite").json(pointer)
-    return True
-
-
 def export_json(rows: DataFrame, path: str) -> None:
     """The rows as JSON lines."""
     rows.write.mode("overwrite").json(path)
