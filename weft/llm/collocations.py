@@ -35,7 +35,7 @@ PLACES = 16
 #: Bits of the bitmap for each pair in it, and bits at most.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: So many of the most frequent parts of candidates are broadcast; more are joined by a shuffle.
-BROADCAST_PARTS = 500_000
+BROADCAST_PARTS = 50_000
 #: Places in which each language's phrases are ranked first.
 SALTS = 64
 
