@@ -281,3 +281,28 @@ def test_toxicity_learns_from_the_ends_of_long_texts(spark):
     bag = toxicity.bag_of(" ".join(f"sameend{i}" for i in range(40_000)))
     want = toxicity.subwords([b"sameend%d" % i for i in range(40_000)])[0]
     assert np.array_equal(np.bincount(bag >> toxicity.COUNT_BITS, bag & toxicity.MOST), np.bincount(want))
+
+
+def test_simhash_equal_ids_null_ids_and_hot_values(spark, monkeypatch):
+    """Against all pairs of fingerprints; many copies, texts without words, rows without ids, and groups beyond a broadcast."""
+    import random
+
+    from weft.llm import simhash
+
+    monkeypatch.setattr(simhash, "BROADCAST_GROUPS", 2)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)] + [(200 + i, texts[0]) for i in range(60)] + [(300, texts[1]), (300, texts[2]), (None, texts[3]), (None, "lone text of nobody else"), (400, ""), (401, None), (402, " \n")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
+    fps = [simhash.fingerprint(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    ids = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in set(root)}
+    want = sorted(((i, f"{f:016x}", ids[r]) for (i, _), f, r in zip(rows, fps, root)), key=str)
+    assert sorted((tuple(r) for r in simhash.near_groups(docs).select("doc_id", "fingerprint", "component_id").collect()), key=str) == want
+    assert sum(r.doc_id is None for r in simhash.drop_near_copies(docs).collect()) == 2

@@ -5,8 +5,9 @@ most one bit of some segment, so each fingerprint looks up the 33 values in the
 segments. Fetched fingerprints are compared in full, and linked documents form components.
 
 Defined results: a null text is an empty text; a text of fewer words than a shingle has one shingle, all its words; one
-of no words has fingerprint zero, linked like any other. Repeated rows and equal ids are rows of their own; an empty
-table gives no rows; other columns are ignored. A bit is set if more than half of the hashes have it; ties give zero.
+of no words has fingerprint zero, linked like any other. Repeated rows and equal ids are rows of their own; rows without an
+id are linked like others but name no component (one of such rows only has a null component_id, and drop_near_copies, which
+drops by id, keeps them); an empty table gives no rows; other columns, whatever their names, are ignored. A bit is set if more than half of the hashes have it; ties give zero.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import components
-from weft.llm.common import cut, spread, steps, text_rows, without
+from weft.llm.common import cut, join_groups, spread, steps, text_rows, without
 
 #: Members of one look-up value that are compared at a time. A value with more is cut into blocks of about this many,
 #: and every two blocks are compared, so no limit drops a candidate.
 UNIT = 500
+#: So many of the largest look-up values, and of the most frequent fingerprints, are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -136,7 +139,7 @@ def links(fps: DataFrame, radius: int = 3, unit: int = UNIT) -> DataFrame:
         raise ValueError("two segments with balls of radius one cover at most three bits")
     probes = look_ups(fps)
     crowd = probes.groupBy("key").agg(F.count("*").alias("n"), F.max("exact").alias("held")).where("held and n > 1")
-    members = probes.join(crowd.select("key", F.ceil(F.col("n") / unit).alias("blocks")), "key")
+    members = join_groups(probes, cut(crowd.select("key", "n")), "key", "n", BROADCAST_GROUPS).where("n is not null").withColumn("blocks", F.ceil(F.col("n") / unit))
     block = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("long")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("one"), F.greatest("block", x).alias("two")))
     units = members.withColumn("block", block).select("key", "fp", "exact", F.explode(pairs).alias("p")).select("key", "p.one", "p.two", "fp", "exact")
@@ -147,12 +150,12 @@ def links(fps: DataFrame, radius: int = 3, unit: int = UNIT) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach."""
     each = cut(fingerprints(docs, words))
-    firsts = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    firsts = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     classes = components.connected(links(firsts.select("fp"), radius))
     least = firsts.join(classes, firsts["fp"] == classes["node"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = classes.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of = cut(firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
-    return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = cut(firsts.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")))
+    return join_groups(each, of, "fp", "n", BROADCAST_GROUPS).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
