@@ -126,3 +126,17 @@ def test_sequences_and_bitmaps():
     assert rows.room.tolist() == [0, 1, 2, 3, 0, 1, 0, 1, 2] and rows.sizes.tolist() == [3, 1, 2] and rows.symbol[1] == 0
     bits = suffix_tree.Bitmap()
     assert not bits.has(np.arange(100, dtype=np.uint64)).any()
+
+
+def test_contexts_earn_their_place_on_held_out_texts(spark):
+    """Perplexity of held-out words: with single words only it is about 6500 here, with the shipped thresholds it must keep
+    at least half (in logarithms) of what LEAST 8 and DIVERGENCE 6 gained, 2844."""
+    import os
+
+    path = os.environ.get("SUFFIX_TREE_TEST", "/root/testdata/sf0.1/documents.parquet")
+    if not os.path.exists(path):
+        pytest.skip("the table is not here")
+    rows = suffix_tree.scored(spark.read.parquet(path)).where("held_out").selectExpr("sum(score) as s", "sum(n_tokens) as n").first()
+    perplexity = 10 ** (-rows.s / rows.n)
+    print("held-out perplexity", perplexity)
+    assert perplexity < math.sqrt(6493 * 2844)

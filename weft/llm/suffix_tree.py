@@ -37,7 +37,7 @@ from weft.llm.common import arrow_steps, fold, fresh_path, most_frequent, spread
 #: The end of a text; no word holds a space. It also stands before a text's first word.
 END = " "
 #: Occurrences from which a word, a context or a node can be in the tree: the same for a corpus of any size.
-LEAST = 200
+LEAST = 8
 #: Relative entropy, in nats times occurrences, that a context and each of its words must reach; and what is discounted.
 DIVERGENCE, DISCOUNT, SEED = 60.0, 0.5, 42
 #: Sizes of the broadcast tiers and of a bitmap, whatever the corpus.
