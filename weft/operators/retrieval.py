@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.operators import ranking
 from weft.operators.graph import cut
 
 #: Weights of the strategies, BM25's parameters, scores of graph seeds and their neighbours.
@@ -84,11 +87,42 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", words: str = "t
     return raw.crossJoin(F.broadcast(raw.agg(F.max("raw").alias("most")))).select(key, (F.col("raw") / F.col("most")).alias("score"))
 
 
+#: Distinct terms, and terms of all queries together, up to which queries are sent to the documents.
+MOST_TERMS, MOST_ASKED = 200_000, 2_000_000
+
+
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "doc_id", words: str = "tokens") -> DataFrame:
     """query_id, rank, key and score of the k best documents of each query of a table (query_id, tokens).
 
-    An inverted index join on terms: only terms of queries leave the documents' rows."""
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    Queries go to the documents, as numbers of terms, while they have MOST_TERMS distinct terms and MOST_ASKED in all: rows
+    are then counts of asked terms in a document, and nothing else is shuffled but each task's best. Larger tables of queries
+    are joined by term (bm25_joined). Rows with equal keys are documents of their own; a null list of tokens is empty."""
+    spark = docs.sparkSession
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")).distinct())
+    n_asked, n_terms = asked.agg(F.count("*"), F.count_distinct("term")).first()
+    if n_terms > MOST_TERMS or n_asked > MOST_ASKED:
+        return bm25_joined(docs, asked, k, key, words)
+    told = asked.groupBy("query_id").agg(F.collect_list("term").alias("terms")).orderBy("query_id").toArrow()
+    terms = sorted({t for x in told.column("terms").to_pylist() for t in x})
+    numbers = {t: i for i, t in enumerate(terms)}
+    sent = spark.sparkContext.broadcast(ranking.Queries(told.column("query_id").to_pylist(), [np.array(sorted(numbers[t] for t in x), np.int64) for x in told.column("terms").to_pylist()]))
+    kind = docs.schema[key].dataType.simpleString()
+    counts = docs.select(F.col(key).alias("key"), F.coalesce(words, F.array().cast("array<string>")).alias("tokens")).mapInArrow(ranking.counted(numbers), f"key {kind}, len long, terms array<int>, counts array<int>")
+    counts = cut(counts)
+    n, mean = counts.agg(F.count("*"), F.greatest(F.coalesce(F.avg("len"), F.lit(0.0)), F.lit(1e-9))).first()
+    df = np.zeros(len(terms))
+    for t, d in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+        df[t] = d
+    found = counts.mapInArrow(ranking.ranked(sent, np.log(1 + (n - df + 0.5) / (df + 0.5)), mean, k, K1, B), f"number long, key {kind}, raw double")
+    order = Window.partitionBy("number").orderBy(F.round("raw", 9).desc(), "key")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("number")))
+    names = spark.createDataFrame(pa.table({"number": pa.array(range(len(told)), pa.int64()), "query_id": told.column("query_id")}))
+    return best.join(F.broadcast(names), "number").select("query_id", "rank", F.col("key").alias(key), "score")
+
+
+def bm25_joined(docs: DataFrame, asked: DataFrame, k: int = TOP_K, key: str = "doc_id", words: str = "tokens") -> DataFrame:
+    """As bm25_batch, for any number of queries: postings of asked terms are joined with the queries (query_id, term)."""
     terms = asked.select("term").distinct()
     rows = docs.select(key, F.size(words).alias("len"), F.explode(words).alias("term"))
     tf = rows.join(F.broadcast(terms) if terms.count() <= 200_000 else terms, "term").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
