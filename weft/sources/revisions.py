@@ -29,6 +29,17 @@ def _context(spark: SparkSession, path: str):
     return hadoop, where.getFileSystem(conf), hadoop.FileContext.getFileContext(where.toUri(), conf) if where.toUri().getScheme() else hadoop.FileContext.getFileContext(conf)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs, _ = _context(spark, path)
+    return fs.exists(hadoop.Path(path))
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    hadoop, fs, _ = _context(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(hadoop.Path(path)) if s.isDirectory()]
+
+
 def put_new(spark: SparkSession, path: str, text: str) -> bool:
     """Make a file appear whole; False if there is one of that name already."""
     hadoop, fs, context = _context(spark, path)

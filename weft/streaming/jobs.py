@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weft.operators.ops import PARSE_COMPLETED, PRODUCERS, event_problem, schema_problems
+from weft.sources.revisions import exists, folders
 
 ENVELOPE = "event_id string, event_type string, aggregate_id string, occurred_at timestamp, producer string, payload_version int, trace_id string, payload string, tenant_id string, repository_id string"
 #: The event types that the consumer takes.
@@ -40,30 +41,79 @@ def rejections(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", "event_type", "reason", F.sha2(F.coalesce("payload", F.lit("")).cast("binary"), 256).alias("payload_digest"))
 
 
-def appended(rows: DataFrame, path: str, key: str, batch: int) -> None:
-    """Append rows whose key is not there yet. A batch that is run again replaces its own folder, so its effect is once."""
-    spark, own = rows.sparkSession, f"{path}/batch={batch}"
-    new = rows.dropDuplicates([key])
-    try:
-        new = new.join(spark.read.parquet(path).where(F.col("batch") != batch).select(key), key, "left_anti")
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    new.write.mode("overwrite").parquet(own)
+#: Tables of keys are cut into so many folders by a hash of the key; a batch reads those of its own keys.
+BUCKETS = 256
+
 
+def unknown(rows: DataFrame, path: str, key: str, batch: int) -> DataFrame:
+    """One row for each key that earlier batches have not brought, with its bucket. Of what is there only the keys are read,
+    in the folders of this batch's keys."""
+    spark = rows.sparkSession
+    new = rows.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    if not exists(spark, path):
+        return new
+    mine = [r[0] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+    there = spark.read.schema(f"{key} string, bucket int, batch long").parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != batch)).select(key, "bucket")
+    return new.join(there, [key, "bucket"], "left_anti")
 
-def consume(events: DataFrame, requests: str, rejected: str, checkpoint: str, most_pending: int | None = None) -> StreamingQuery:
-    """Turn events into build requests, once for each fingerprint, and keep what is rejected, once for each event."""
+
+def appended(rows: DataFrame, path: str, key: str, batch: int) -> None:
+    """Append rows whose key is not there yet. A batch that is run again replaces its own folders, so its effect is once."""
+    new = unknown(rows, path, key, batch).withColumn("batch", F.lit(batch))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+
+def brought(spark: SparkSession, path: str, key: str, batch: int) -> int:
+    """How many rows a batch added to a table of `appended`."""
+    return spark.read.schema(f"{key} string, bucket int, batch long").parquet(path).where(F.col("batch") == batch).count()
+
+
+def admitted(requests: DataFrame, path: str, batch: int, per_tenant: int, in_all: int, finished: DataFrame | None = None) -> DataFrame:
+    """requests with `admitted`: whether fewer builds than the quotas are pending, those of smaller event_id first.
+
+    What each tenant was granted so far is a table of one row a tenant under `path`, a version a batch; a batch reads the
+    version before it and writes its own, so running it again has the same effect. finished: tenant_id and n, the builds that
+    have ended; pending is what was granted less these."""
+    spark = requests.sparkSession
+    before = spark.createDataFrame([], "tenant_id string, granted long")
+    if exists(spark, path):
+        versions = [int(n.split("=")[1]) for n in folders(spark, path) if n.startswith("batch=")]
+        if earlier := [v for v in versions if v < batch]:
+            before = spark.read.schema("tenant_id string, granted long").parquet(f"{path}/batch={max(earlier)}")
+    ended = finished.groupBy("tenant_id").agg(F.sum("n").alias("ended")) if finished is not None else spark.createDataFrame([], "tenant_id string, ended long")
+    known = before.join(ended, "tenant_id", "left").select("tenant_id", "granted", F.greatest(F.col("granted") - F.coalesce("ended", F.lit(0)), F.lit(0)).alias("pending"))
+    left_in_all = max(0, in_all - (known.agg(F.coalesce(F.sum("pending"), F.lit(0))).first()[0]))
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy("event_id"))
+    near = requests.withColumn("place", place).join(known.select("tenant_id", "pending"), "tenant_id", "left")
+    near = near.where(F.col("place") + F.coalesce("pending", F.lit(0)) <= per_tenant)
+    chosen = near.orderBy("event_id").limit(left_in_all).select("event_id", F.lit(True).alias("admitted")).persist()
+    more = requests.join(chosen, "event_id", "left_semi").groupBy("tenant_id").agg(F.count("*").alias("more"))
+    now = before.join(more, "tenant_id", "full").select("tenant_id", (F.coalesce("granted", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("granted"))
+    now.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return requests.join(chosen, "event_id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+
+
+def consume(events: DataFrame, requests: str, rejected: str, checkpoint: str, most_pending: int | None = None, most_in_all: int | None = None, finished: Callable[[], DataFrame] | None = None, gauges: str | None = None) -> StreamingQuery:
+    """Turn events into build requests, once for each fingerprint, and keep what is rejected, once for each event.
+
+    most_pending, most_in_all: quotas of pending builds of a tenant and of all (see `admitted`), over all batches; a request
+    that exists already is accepted and takes nothing of them, and one over a quota is told as rejected and may come again.
+    gauges: where each batch leaves a row of counts."""
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         good, bad = sorted_out(rows)
-        if most_pending is not None:  # what is over the limit is told, not lost
-            taken = good.orderBy("event_id").limit(most_pending)
-            bad = bad.union(rejections(good.join(taken.select("event_id"), "event_id", "left_anti").withColumn("reason", F.lit("over the limit of pending builds"))))
-            good = taken
+        if most_pending is not None or most_in_all is not None:  # what is over the limit is told, not lost
+            told = admitted(unknown(good, requests, "fingerprint", number).drop("bucket"), f"{requests}-quota", number, most_pending or 2**62, most_in_all or 2**31 - 1, finished and finished())
+            bad = bad.union(rejections(told.where("not admitted").withColumn("reason", F.lit("over the limit of pending builds"))))
+            good = told.where("admitted").drop("admitted")
         appended(good.drop("event_type", "payload"), requests, "fingerprint", number)
         appended(bad, rejected, "event_id", number)
+        if gauges is not None:
+            counts = rows.agg(F.count("*").alias("events"), F.count_distinct("tenant_id").alias("tenants"), F.min("occurred_at").alias("oldest"), F.max("occurred_at").alias("newest"))
+            spark = rows.sparkSession
+            new = F.lit(brought(spark, requests, "fingerprint", number)), F.lit(brought(spark, rejected, "event_id", number))
+            counts.withColumn("requests", new[0]).withColumn("rejected", new[1]).write.mode("overwrite").parquet(f"{gauges}/batch={number}")
         rows.unpersist()
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
