@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from weft.llm import near_copies, pii, simhash
+from weft.llm import near_copies, pii
 
 RNG = random.Random(9)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randrange(3, 8))) for _ in range(400)]
@@ -57,13 +57,12 @@ def test_run_packs_what_the_stages_leave(spark, corpus):
     for i, text in enumerate(texts):
         if i in toxic_left:
             seen.setdefault(" ".join((text or "").split()) if text else "", i)
-    fps: dict = {}
+    kept: dict = {}
     for i in seen.values():
-        fp = simhash.fingerprint(texts[i] or "")
-        near = [f for f in fps if (f ^ fp).bit_count() <= 3]
-        if not near:
-            fps[fp] = i
-            want[i] = texts[i] or ""
+        words = (texts[i] or "").lower().split()
+        own = frozenset(tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4)))
+        if not any(len(own & other) / len(own | other) >= 0.8 for other in kept.values()):
+            kept[i], want[i] = own, texts[i] or ""
     assert set(pieces) == set(want)
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     for i, text in want.items():
@@ -96,3 +95,20 @@ def test_near_dedup_links_what_is_similar_by_five_words(spark, unit):
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == set(root)
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
     assert 20 < len(linked) and len(set(root)) > 12
+
+
+def test_rows_without_ids_clashing_names_and_empty_tables(spark, corpus):
+    folder, docs, _ = corpus
+    odd = docs.selectExpr("case when doc_id % 3 = 0 then null else doc_id end as doc_id", "text", "lang", "source", "n_chars", "'x' as node", "1 as digest", "2 as kept", "'y' as place")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, folder)
+        assert got.columns == odd.columns, name
+        if name in ("exact_dedup", "near_dedup"):  # rows without an id are never dropped by id
+            assert got.where("doc_id is null").count() == odd.where("doc_id is null").count(), name
+        assert stage(spark, odd.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.packing_stage(spark, odd.limit(0), folder).count() == 0
+
+
+def test_hot_groups_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BROADCAST_GROUPS", 1)
+    test_near_dedup_links_what_is_similar_by_five_words(spark, 3)
