@@ -70,21 +70,58 @@ def radial(nodes: DataFrame) -> DataFrame:
     return placed(nodes).select("node_id", at(F.cos).alias("x"), at(F.sin).alias("y"))
 
 
+def chains(arcs: DataFrame) -> DataFrame:
+    """node_id, up and steps of every node with one predecessor: the nearest node above it that has none or several, and how
+    far that is; up is null for what hangs from a cycle. Pointers are doubled, so rounds grow as the logarithm of the longest chain."""
+    single = arcs.groupBy("node_id").agg(F.count("*").alias("n"), F.first("source").alias("up")).where("n = 1").select("node_id", "up", F.lit(1).cast("long").alias("steps"))
+    now = cut(single)
+    most = max(1, now.count()).bit_length() + 1
+    for _ in range(most):
+        above = now.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        met = now.join(above, "up", "left")
+        now = cut(met.select("node_id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open")))
+        if not now.where("open").limit(1).count():
+            return now.drop("open")
+        now = now.drop("open")
+    ends = now.select("node_id").withColumnRenamed("node_id", "up").withColumn("looped", F.lit(True))
+    return cut(now.join(ends, "up", "left").select("node_id", F.when(F.col("looped").isNull(), F.col("up")).alias("up"), "steps"))
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id and layer: the longest path from a node without predecessors; what lies in or behind cycles comes after all.
 
-    Each round peels the nodes none of whose predecessors is left."""
-    left = cut(nodes.select("node_id"))
+    Nodes with one predecessor are placed by the chain that they hang from. Of the others each round peels those none of
+    whose predecessors is left, so there are as many rounds as such nodes on a path."""
+    ids = cut(nodes.select("node_id"))
     arcs = edges.where("from_node_id <> to_node_id").select(F.col("from_node_id").alias("source"), F.col("to_node_id").alias("node_id")).distinct()
-    done, layer = None, 0
+    arcs = cut(arcs.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids, "node_id", "left_semi"))
+    hung = chains(arcs)
+    left = cut(ids.join(hung.select("node_id"), "node_id", "left_anti"))
+    above = hung.select(F.col("node_id").alias("source"), F.col("up"), "steps", F.lit(True).alias("hangs"))
+    into = arcs.join(left, "node_id", "left_semi").join(above, "source", "left")
+    into = into.select("node_id", F.when(F.col("hangs"), F.col("up")).otherwise(F.col("source")).alias("source"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    into = cut(into.groupBy("node_id", "source").agg(F.max("steps").alias("steps")))
+    stuck = into.where("source is null").select("node_id").distinct()  # behind a cycle of single predecessors
+    done = None
     while True:
-        open_arcs = arcs.join(left.select(F.col("node_id").alias("source")), "source", "left_semi")
-        ready = cut(left.join(open_arcs.select("node_id").distinct(), "node_id", "left_anti").select("node_id", F.lit(layer).alias("layer")))
+        waits = into.join(left.select(F.col("node_id").alias("source")), "source", "left_semi").select("node_id").union(stuck).distinct()
+        ready = left.join(waits, "node_id", "left_anti")
+        if done is None:
+            ready = cut(ready.select("node_id", F.lit(0).cast("long").alias("layer")))
+        else:
+            from_done = into.join(done.select(F.col("node_id").alias("source"), F.col("layer").alias("base")), "source")
+            best = from_done.groupBy("node_id").agg(F.max(F.col("base") + F.col("steps")).alias("layer"))
+            ready = cut(ready.join(best, "node_id").select("node_id", "layer"))
         if not ready.count():
-            rest = left.select("node_id", F.lit(layer).alias("layer"))
-            return rest if done is None else done.union(rest)
-        done = ready if done is None else done.union(ready)
-        left, layer = cut(left.join(ready.select("node_id"), "node_id", "left_anti")), layer + 1
+            break
+        done = ready if done is None else cut(done.union(ready))
+        left = cut(left.join(ready.select("node_id"), "node_id", "left_anti"))
+    if done is None:
+        return ids.select("node_id", F.lit(0).alias("layer"))
+    tails = hung.join(done.select(F.col("node_id").alias("up"), "layer"), "up").select("node_id", (F.col("layer") + F.col("steps")).alias("layer"))
+    found = cut(done.union(tails))
+    last = found.agg(F.max("layer")).first()[0] + 1
+    return ids.join(found, "node_id", "left").select("node_id", F.coalesce("layer", F.lit(last)).cast("int").alias("layer"))
 
 
 def dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
