@@ -85,6 +85,11 @@ def admitted(files: DataFrame) -> DataFrame:
     return routed(files).withColumn("skipped", F.when(F.col("parser").isNull(), "unsupported").when(F.octet_length(content) > MOST_BYTES, "too_large").when(binary | invalid, "binary"))
 
 
+def overfull(files: DataFrame, key: str, most: int = MOST_FILES) -> DataFrame:
+    """Snapshots with more files than one may have; such a snapshot is refused whole."""
+    return files.groupBy(key).agg(F.count("*").alias("files")).where(F.col("files") > most)
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path and kind of what differs between two tables of path and content_hash."""
     a, b = old.select("path", F.col("content_hash").alias("before")), new.select("path", F.col("content_hash").alias("after"))

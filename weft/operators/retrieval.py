@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weft.functions import text as T
 from weft.operators import ranking
 from weft.operators.graph import cut
+from weft.operators.validate import valid_source_ref
 
 #: Weights of the strategies, BM25's parameters, scores of graph seeds and their neighbours.
 WEIGHTS = {"SYMBOL": 0.35, "KEYWORD": 0.25, "SEMANTIC": 0.25, "GRAPH": 0.15}
@@ -44,6 +45,19 @@ def documents_of(artifacts: DataFrame) -> DataFrame:
     )
 
 
+def index_problems(artifacts: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """key, artifact_id and reason of the artifacts for which an index of their snapshot is refused: without id or name,
+    repeated, with an unsound source reference, with another hash than its reference, of another commit than the snapshot's
+    others (the smallest commit is taken for the snapshot's)."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    twice = artifacts.groupBy(key, "artifact_id").agg(F.count("*").alias("copies")).where("copies > 1").select(key, "artifact_id", "copies")
+    commits = artifacts.groupBy(key).agg(F.min("source_ref.commit_sha").alias("first_commit"))
+    rows = artifacts.join(twice, [key, "artifact_id"], "left").join(commits, key)
+    hashed = blank(F.col("content_hash")) | ~F.col("content_hash").eqNullSafe(F.col("source_ref.content_hash"))
+    reason = F.when(blank(F.col("artifact_id")) | blank(F.col("name")), "empty").when(F.col("copies").isNotNull(), "repeated").when(~valid_source_ref(), "source reference").when(hashed, "hash").when(F.col("source_ref.commit_sha") != F.col("first_commit"), "commit")
+    return rows.withColumn("reason", reason).where("reason is not null").select(key, "artifact_id", "reason")
+
+
 def under(path: Column, prefixes: list[str]) -> Column:
     """Whether a path is one of the prefixes or lies below one."""
     hit = F.lit(False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,7 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Add rows to an append-only table with the time of writing."""
-    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+def append_audit(rows: DataFrame, path: str, started_at: datetime | None = None, result: str | None = None) -> None:
+    """Add rows to an append-only table with when their work began and ended, and how."""
+    told = rows.withColumn("started_at", F.lit(started_at).cast("timestamp")).withColumn("ended_at", F.current_timestamp()).withColumn("result", F.lit(result).cast("string"))
+    told.write.mode("append").parquet(path)
