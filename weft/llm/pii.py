@@ -78,10 +78,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 #: Generators: spelled-out mail addresses, numbers in groups, hexadecimal addresses.
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s?[(\[{]\s?at\s?[)\]}]\s?|\s?@\s?| at )[A-Za-z0-9-]{1,63}(?:(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.| dot )[A-Za-z0-9-]{1,63}){1,6}", re.I)
-SIGN = re.compile(r"@|[(\[{]\s?at\s?[)\]}]| at (?=[A-Za-z0-9-]{1,63}(?:\.| dot |\s?[(\[{]))| dot |[(\[{]\s?dot\s?[)\]}]", re.I)
-GROUPS = re.compile(r"(?<![0-9])[+(]?[0-9][0-9\x20().\-/]{5,40}[0-9](?![0-9])")
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s?[(\[{]\s?at\s?[)\]}]\s?|\s?[@＠]\s?| at |_at_)[A-Za-z0-9-]{1,63}(?:(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.| dot )[A-Za-z0-9-]{1,63}){1,6}", re.I)
+SIGN = re.compile(r"[@＠]|_at_|[(\[{]\s?at\s?[)\]}]| at (?=[A-Za-z0-9-]{1,63}(?:\.| dot |\s?[(\[{]))| dot |[(\[{]\s?dot\s?[)\]}]", re.I)
+GROUPS = re.compile(r"(?<![0-9])[+(]?[0-9][0-9\x20().\-/_]{5,40}[0-9](?![0-9])")
 HEXADECIMAL = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+#: Addresses with a run of zeros left out, and at most seven groups.
+SHORTENED = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![0-9A-Fa-f:.]|\w)")
 HINTS = [
     re.compile("mail|contact|write|reach", re.I),
     re.compile(r"\bip\b|host|server|address|addr", re.I),
@@ -105,6 +107,8 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
             if 13 <= n <= 19:
                 found.append((m.start() + (m[0][0] in "+("), 2, m.end()))
         found += [(m.start(), 1, m.end()) for m in HEXADECIMAL.finditer(text)]
+        if "::" in text:
+            found += [(m.start(), 1, m.end()) for m in SHORTENED.finditer(text) if len(m[0]) > 3]
     return sorted(set(found))
 
 
@@ -133,6 +137,9 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
         span.count(" "),
         span.count("/"),
         span.count(":"),
+        span.count("::"),
+        span.count("_"),
+        sum(c in "abcdefABCDEF" for c in span),
         float(bool(digits) and luhn(digits)),
         len(set(digits)),
         float(bool(re.match(r"(19|20)\d\d", digits))),
@@ -156,18 +163,19 @@ def made(rng: np.random.Generator, kind: int, real: bool) -> str:
         return pick([f"{word()} at {word()} dot {word()} dot {word()}", f"{word()} @ {n(2)}.{n(2)}", f"{word()} at {n(1)} dot {n(2)}", f"the (at) {word()}.{n(3)}", f"{word()}@{word()}.{n(1)}", f"look at the dot {word()}"])
     if kind == 1:
         if real:
-            return ":".join("".join(rng.choice(list("0123456789abcdef"), rng.integers(1, 5))) for _ in range(8))
-        return pick([":".join(n(2) for _ in range(rng.integers(4, 6))), ":".join(n(1) for _ in range(5)), f"{n(2)}:{n(2)}:{n(2)}:{n(3)}", "de:ad:be:ef"])
+            groups = lambda k: ":".join("".join(rng.choice(list("0123456789abcdef"), rng.integers(1, 5))) for _ in range(k))
+            return pick([groups(8), groups(8), f"{pick(['2001', 'fe80', 'fd00', '2a02'])}{pick(['', ':' + groups(1), ':' + groups(2), ':' + groups(3)])}::{groups(rng.integers(1, 4))}"])
+        return pick([":".join(n(2) for _ in range(rng.integers(4, 6))), ":".join(n(1) for _ in range(5)), f"{n(2)}:{n(2)}:{n(2)}:{n(3)}", "de:ad:be:ef", f"{pick(['abc', 'add', 'bad', 'face', 'a', 'de'])}::{pick(['add', 'dead', 'bee', 'b', 'c0de'])}", f"{n(1)}::{n(2)}", f"{n(2)}::{n(1)}"])
     if kind == 2:
         digits = pick(["4", "5", "37"]) + n(13)
         digits = next(d for c in range(10) if luhn(d := digits + str(c)))
         if not real:
             digits = pick([digits[:-1] + str((int(digits[-1]) + int(rng.integers(1, 10))) % 10), n(rng.integers(13, 20))])
             digits = digits if not luhn(digits) else digits[:-1] + str((int(digits[-1]) + 1) % 10)
-        return pick([digits, ".".join(re.findall(".{1,4}", digits)), "/".join(re.findall(".{1,4}", digits)), "  ".join(re.findall(".{1,4}", digits))])
+        return pick([digits, ".".join(re.findall(".{1,4}", digits)), "/".join(re.findall(".{1,4}", digits)), "  ".join(re.findall(".{1,4}", digits)), "_".join(re.findall(".{1,4}", digits))])
     if real:
         a, b, c = f"{rng.integers(2, 10)}{n(2)}", f"{rng.integers(2, 10)}{n(2)}", n(4)
-        return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{rng.integers(1, 99)} {a} {b} {c}", f"0{n(3)} {n(3)} {n(4)}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}"])
+        return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{rng.integers(1, 99)} {a} {b} {c}", f"0{n(3)} {n(3)} {n(4)}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"{a} {b} {c}", f"00{rng.integers(10, 99)} {n(2)} {n(7)}", f"0{n(2)}/{n(7)}", f"{a}{b}{c}", f"0{a}{n(7)}"])
     y, m, d = 1900 + rng.integers(130), f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"
     return pick([f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"{y}-{y + 1}", n(rng.integers(7, 16)), f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}", f"{n(1)}.{n(3)}.{n(3)}", f"{n(2)} {n(2)} {n(2)} {n(2)}", f"{n(4)}.{n(4)}", f"{n(3)} - {n(4)}", f"{n(1)} / {n(6)}"])
 
@@ -188,8 +196,10 @@ def model() -> tuple[Trees, np.ndarray]:
     while len(rows) < EXAMPLES + CALIBRATION:
         kind, real = int(rng.integers(4)), bool(rng.integers(2))
         lead = pick([pick(helping[kind]), pick(filler), pick(filler)]) if real else pick([pick(hindering), pick(filler), pick(filler)])
-        head = f"{pick(filler)} {lead}{pick([' ', ' ', ': '])}"
         span = made(rng, kind, real)
+        if real and kind == 3 and span.isdigit():
+            lead = pick(helping[kind])  # nothing but what stands before it tells such a number from others
+        head = f"{pick(filler)} {lead}{pick([' ', ' ', ': '])}"
         text = f"{head}{span}{pick([' ', '. ', ', ', ''])}{pick(filler)}"
         for a, k, b in proposals(text):
             own = k == kind and real and a <= len(head) + 1 and b >= len(head) + len(span) - 1
