@@ -75,3 +75,16 @@ def test_overfull_snapshots_and_audit_rows(spark, tmp_path):
         T.append_audit(spark.range(2), str(tmp_path / "a"), datetime(2024, 1, 1), result)
     got = spark.read.parquet(str(tmp_path / "a"))
     assert got.columns == ["id", "started_at", "ended_at", "result"] and sorted(r.result for r in got.where("ended_at > started_at").collect()) == ["FAILED", "FAILED", "SUCCEEDED", "SUCCEEDED"]
+
+
+def test_whole_envelopes(spark):
+    from weft.operators import ops as O
+
+    def envelope(want, **more):
+        base = {"event_id": "e", "event_type": "t.v1", "aggregate_id": "a", "occurred_at": datetime(2024, 1, 1), "producer": "p", "payload_version": 1, "trace_id": "x", "payload": "{}", "tenant_id": "t", "repository_id": "r", "header_trace": "x", "want": want}
+        return tuple({**base, **more}.values())
+
+    cases = [envelope(None), envelope(None, header_trace=None), envelope("trace_id of the scope", header_trace="y"), envelope("event_id", event_id="e "), envelope("event_type", event_type=" t.v1"), envelope("event_type", event_type="other"), envelope("aggregate_id", aggregate_id=None), envelope("trace_id", trace_id=""), envelope("occurred_at", occurred_at=None), envelope("payload", payload=None), envelope("producer", producer="q"), envelope("payload_version", payload_version=2), envelope("scope tenant_id", tenant_id=" t")]
+    rows = spark.createDataFrame(cases, "event_id string, event_type string, aggregate_id string, occurred_at timestamp, producer string, payload_version int, trace_id string, payload string, tenant_id string, repository_id string, header_trace string, want string")
+    problem = O.envelope_problem({"t.v1": "p"}, {"tenant_id": F.col("tenant_id"), "repository_id": F.col("repository_id"), "trace_id": F.col("header_trace")})
+    assert [(r.want, r.got) for r in rows.withColumn("got", problem).collect() if r.want != r.got] == []

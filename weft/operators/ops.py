@@ -25,6 +25,24 @@ def event_problem(types: dict[str, str]) -> Column:
     return F.when(F.col("event_id").isNull() | blank("event_id"), "event_id").when(producer.isNull(), "event_type").when(F.col("producer") != producer, "producer").when(F.col("payload_version") != 1, "payload_version")
 
 
+def envelope_problem(types: dict[str, str], scope: dict[str, Column] | None = None) -> Column:
+    """Why a whole envelope with its trusted scope is refused, or null: as event_problem, and besides identities that are empty
+    or not trimmed, no time, no payload, and a trace that is another than the scope's (where that has one).
+
+    scope: tenant_id, repository_id and, where they are known, snapshot_id and trace_id, from headers and not from payloads."""
+    loose = lambda c: F.coalesce(c.cast("string"), F.lit("")).rlike(r"^$|^\s|\s$")
+    scope = scope or {c: F.col(c) for c in ("tenant_id", "repository_id")}
+    reason = F.when(F.lit(False), "")
+    for name, value in scope.items():
+        if name != "trace_id":
+            reason = reason.when(loose(value), f"scope {name}")
+    for name in ("event_id", "event_type", "aggregate_id", "trace_id"):
+        reason = reason.when(loose(F.col(name)), name)
+    reason = reason.when(F.col("occurred_at").isNull(), "occurred_at").when(F.col("payload").isNull(), "payload").when(event_problem(types).isNotNull(), event_problem(types))
+    trace = scope.get("trace_id", F.lit(""))
+    return reason.when((F.coalesce(trace, F.lit("")) != "") & ~trace.eqNullSafe(F.col("trace_id")), "trace_id of the scope")
+
+
 def retry_schedule(rows: DataFrame, base: float, most: float, attempts: int) -> DataFrame:
     """Rows with the delay before their next delivery, doubled each time up to a limit, and whether they are given up."""
     n = F.col("delivery_count")
