@@ -1,9 +1,13 @@
 """Steps whose work must be dealt over the cluster, or must not grow with what is not asked for."""
 
+import hashlib
+
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from weft.functions import text as T
 from weft.operators import graph as G
+from weft.sources.tables import spread, table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,3 +28,26 @@ def test_candidates_of_a_hot_name_are_dealt_over_tasks(spark):
     assert got.where("relation_type = 'POSSIBLE_TARGET'").count() == 2 * (3 * G.PART + 7)
     pairs = G.candidates_of(relations, symbols)
     assert pairs.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_features_are_counted_where_their_row_lies(spark):
+    rows = spark.createDataFrame([(1, ["ab", "cde", "ab"]), (2, []), (3, None), (4, ["é😀x", "y" * 40]), (5, ["the"] * 3), (5, ["cat", "the"])], "k long, tokens array<string>")
+    for dimensions in (32, 256):
+        got = {(r.k, r.bucket): r.weight for r in T.hash_vectors(rows, "k", F.col("tokens"), dimensions).collect()}
+        sums: dict = {}
+        for k, words in ((r.k, r.tokens or []) for r in rows.collect()):
+            joined = " ".join(words)
+            for f in words + [joined[i : i + n] for n in (3, 4) for i in range(len(joined) - n + 1)]:
+                d = hashlib.sha256(f.encode()).digest()
+                at = (k, int.from_bytes(d[:8], "little") % dimensions)
+                sums[at] = sums.get(at, 0) + (-1 if d[8] % 2 else 1)
+        norm = {k: sum(v * v for (j, _), v in sums.items() if j == k) ** 0.5 for k, _ in sums}
+        assert got == {at: v / norm[at[0]] for at, v in sums.items() if v}
+    plan = T.hash_vectors(rows, "k", F.col("tokens"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no feature is a row
+
+
+def test_one_row_group_is_dealt_over_tasks(spark):
+    docs = spread(table(spark, "/root/testdata/sf0.1", "documents"))
+    sizes = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 2 * sum(sizes) / len(sizes)

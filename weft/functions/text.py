@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions import vectors
+from weft.sources.tables import small_batches
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores; a capital after a small letter or digit begins a new one."""
@@ -56,13 +59,18 @@ def feature_place(feature: Column, dimensions: int = 256) -> tuple[Column, Colum
     return bucket, sign
 
 
+def hash_sums(rows: DataFrame, key: str, words: Column, dimensions: int = 256) -> DataFrame:
+    """key and lists: for each row of the key the sums of the signs of its features in each bucket.
+
+    Features are counted where their row lies, so each key is shuffled with one list; see `vectors`."""
+    small_batches(rows.sparkSession)
+    each = rows.select(F.col(key).alias("key"), words.alias("words")).mapInArrow(vectors.sums(dimensions), f"key {rows.schema[key].dataType.simpleString()}, sums array<int>")
+    return each.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "key").groupBy("key").agg(F.collect_list("sums").alias("lists"))  # a set number, as a map follows
+
+
 def hash_vectors(rows: DataFrame, key: str, words: Column, dimensions: int = 256) -> DataFrame:
-    """key, bucket and weight: the unit vector of each row's features in sparse form."""
-    seen = rows.select(key, F.explode(features(words)).alias("f")).groupBy(key, "f").count()
-    bucket, sign = feature_place(F.col("f"), dimensions)
-    sums = seen.select(key, bucket.alias("bucket"), (sign * F.col("count")).alias("s")).groupBy(key, "bucket").agg(F.sum("s").alias("s")).where("s <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    return sums.join(norms, key).select(key, "bucket", (F.col("s") / F.col("norm")).alias("weight"))
+    """key, bucket and weight: the unit vector of each key's features in sparse form."""
+    return hash_sums(rows, key, words, dimensions).mapInArrow(vectors.units(dimensions, key), f"{key} {rows.schema[key].dataType.simpleString()}, bucket int, weight double")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.functions import vectors
 from weft.operators import ranking
 from weft.operators.graph import cut
 from weft.operators.validate import valid_source_ref
@@ -152,9 +153,10 @@ def bm25_joined(docs: DataFrame, asked: DataFrame, k: int = TOP_K, key: str = "d
 def hash_similarity(docs: DataFrame, query: str, key: str = "doc_id", words: str = "tokens", dimensions: int = 256) -> DataFrame:
     """key and cosine of each document's hashed features with the query's, negative ones left out."""
     spark = docs.sparkSession
-    vectors = T.hash_vectors(docs, key, F.col(words), dimensions)
-    asked = T.hash_vectors(spark.range(1).select(F.lit(0).alias("q"), T.tokens(F.lit(query)).alias("tokens")), "q", F.col("tokens"), dimensions)
-    return vectors.join(F.broadcast(asked.select("bucket", F.col("weight").alias("asked"))), "bucket").groupBy(key).agg(F.sum(F.col("weight") * F.col("asked")).alias("score")).where("score > 0")
+    asked = np.zeros(dimensions)
+    for r in T.hash_vectors(spark.range(1).select(F.lit(0).alias("q"), T.tokens(F.lit(query)).alias("tokens")), "q", F.col("tokens"), dimensions).collect():
+        asked[r["bucket"]] = r["weight"]
+    return T.hash_sums(docs, key, F.col(words), dimensions).mapInArrow(vectors.cosines(asked, key), f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def expand(seeds: DataFrame, neighbours: DataFrame, key: str = "doc_id") -> DataFrame:

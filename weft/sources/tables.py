@@ -13,9 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over the cluster where its files give far fewer partitions than there are cores."""
+    """df dealt over the cluster, unless it has many partitions a core. Partitions of files tell little about rows: a file that is
+    cut into several may hold one row group, which one task then reads whole."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
+    return df.repartition(2 * want) if df.rdd.getNumPartitions() < 8 * want else df
+
+
+#: Rows of an Arrow batch at most: texts and their tokens are long rows, and a batch is in memory whole.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Make Python maps of this session take at most BATCH_ROWS rows at a time."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def keyset_page(rows: DataFrame, key: str, cursor: str | None, size: int = 100) -> DataFrame:
