@@ -1,6 +1,12 @@
 """Steps whose work must be dealt over the cluster, or must not grow with what is not asked for."""
 
 import hashlib
+from pathlib import Path
+
+import duckdb
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
@@ -51,3 +57,38 @@ def test_one_row_group_is_dealt_over_tasks(spark):
     docs = spread(table(spark, "/root/testdata/sf0.1", "documents"))
     sizes = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def repeated(tmp_path, times: int, sizes: dict) -> str:
+    """The smallest tables, with those of `sizes` (table: key columns and their span) repeated with shifted keys."""
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        rows = pq.read_table(f"{SMALL}/{name}.parquet")
+        parts = []
+        for i in range(times if name in sizes else 1):
+            one = rows
+            for column, span in sizes.get(name, {}).items():
+                at = one.schema.get_field_index(column)
+                one = one.set_column(at, column, pc.add(one.column(column), i * span))
+            parts.append(one)
+        pq.write_table(pa.concat_tables(parts), tmp_path / f"{name}.parquet")
+    return str(tmp_path)
+
+
+def held_against_sql(spark, folder: str, name: str) -> int:
+    db = duckdb.connect()
+    for path in Path(folder).glob("*.parquet"):
+        db.execute(f"create view {path.stem} as select * from '{path}'")
+    want = sorted(db.execute(entry.oracle_sql()[name]).fetchall())
+    assert sorted(map(tuple, entry.queries()[name](spark, folder).collect())) == want
+    return len(want)
+
+
+def test_a_projection_that_is_pruned_is_not_cut_first(spark, tmp_path):
+    folder = repeated(tmp_path, 600, {"supplier": {"s_suppkey": 100_000}})
+    assert pq.read_metadata(f"{folder}/supplier.parquet").num_rows > 5000
+    assert held_against_sql(spark, folder, "diagram_pruned") > 1
+
+
+def test_all_induced_edges_are_told(spark, tmp_path):
+    folder = repeated(tmp_path, 700, {"customer": {"c_custkey": 1_000_000}, "orders": {"o_orderkey": 10_000_000, "o_custkey": 1_000_000}})
+    assert held_against_sql(spark, folder, "graph_induced_edges") > 50_000

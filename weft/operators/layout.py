@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.paths import extension
-from weft.operators.graph import closed, cut, traverse
+from weft.operators.graph import MOST_FRONTIER, closed, cut, traverse
 
 #: Entity and relation types of each view (none: all), languages of extensions, distances on the canvas.
 VIEWS = {
@@ -27,22 +27,23 @@ def view_filters(view: str, entities: list[str] = (), relations: list[str] = ())
     return both(own[0], entities), both(own[1], relations)
 
 
-def projected(nodes: DataFrame, edges: DataFrame, view: str, least_confidence: float = 0.0, limit: int = 500, entities: list[str] = (), relations: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The nodes of a view in id order, and the confident edges between them."""
-    if not 0 < limit <= MOST_NODES:
+def projected(nodes: DataFrame, edges: DataFrame, view: str, least_confidence: float = 0.0, limit: int | None = 500, entities: list[str] = (), relations: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The nodes of a view in id order, and the confident edges between them. limit None: all nodes, for what is pruned after."""
+    if limit is not None and not 0 < limit <= MOST_NODES:
         raise ValueError(f"limit must be from 1 to {MOST_NODES}")
     kinds, types = view_filters(view, entities, relations)
     if kinds is not None:
         nodes = nodes.where(F.col("entity_type").isin(kinds))
     if types is not None:
         edges = edges.where(F.col("relation_type").isin(types))
-    nodes = nodes.orderBy("node_id").limit(limit)
+    if limit is not None:
+        nodes = nodes.orderBy("node_id").limit(limit)
     return nodes, closed(edges.where(F.col("confidence") >= least_confidence), nodes)
 
 
-def pruned(nodes: DataFrame, edges: DataFrame, roots: list[str], depth: int) -> tuple[DataFrame, DataFrame]:
-    """What of a projection can be reached from its roots."""
-    reached = traverse(nodes, edges, roots, depth=depth).select("node_id")
+def pruned(nodes: DataFrame, edges: DataFrame, roots: list[str], depth: int, most_frontier: int | None = MOST_FRONTIER) -> tuple[DataFrame, DataFrame]:
+    """What of a projection can be reached from its roots; a frontier over most_frontier (None: no budget) is refused."""
+    reached = traverse(nodes, edges, roots, depth=depth, most_frontier=most_frontier).select("node_id")
     kept = nodes.join(reached, "node_id", "left_semi")
     return kept, closed(edges, kept)
 

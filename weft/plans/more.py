@@ -103,8 +103,8 @@ def source_links(spark, sf_dir):
 
 @query("diagram_pruned", f"WITH {NODES}, {EDGES} SELECT node_id FROM nodes WHERE node_id = 'n:7' OR node_id IN (SELECT to_node_id FROM edges WHERE from_node_id = 'n:7' AND relation_type IN ('CONTAINS', 'DEPENDS_ON')) AND entity_type IN ('MODULE', 'INTERFACE', 'REPOSITORY')")
 def pruned(spark, sf_dir):
-    view = L.projected(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), "REPOSITORY_MAP", 0, 5000, ["MODULE", "INTERFACE", "REPOSITORY"], ["CONTAINS", "DEPENDS_ON"])
-    return L.pruned(*view, ["n:7"], 2)[0].select("node_id")
+    view = L.projected(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), "REPOSITORY_MAP", 0, None, ["MODULE", "INTERFACE", "REPOSITORY"], ["CONTAINS", "DEPENDS_ON"])
+    return L.pruned(*view, ["n:7"], 2, most_frontier=None)[0].select("node_id")
 
 
 KIND = "CASE event_id % 4 WHEN 0 THEN 'index.ready.v1' WHEN 1 THEN 'wiki.published.v1' WHEN 2 THEN 'parse.failed.v1' ELSE 'no.such.v1' END"
