@@ -25,23 +25,18 @@ LETTERS = {"A": "ADDED", "M": "MODIFIED", "D": "DELETED", "T": "TYPE_CHANGED"}
 def decode_listing(rows: DataFrame, column: str = "listing") -> DataFrame:
     """Changes out of name-status listings with NUL between fields: letter, path, and for renames and copies the new path.
 
-    Each listing is folded within its row; an unknown letter gives kind null, which normalising refuses."""
-    fields = F.filter(F.split(column, "\0"), lambda x: x != "")
-    empty = F.array().cast("array<struct<letter:string,path:string,old_path:string>>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("letter"), F.lit("").alias("old"))
-
-    def step(state, field):
-        two = F.substring(state["letter"], 1, 1).isin("R", "C")
-        add = F.concat(state["done"], F.array(F.struct(state["letter"].alias("letter"), field.alias("path"), F.when(two, state["old"]).alias("old_path"))))
-        fresh = state["letter"] == ""
-        wait = two & (state["old"] == "")
-        return F.struct(F.when(fresh | wait, state["done"]).otherwise(add).alias("done"), F.when(fresh, field).when(wait, state["letter"]).otherwise("").alias("letter"), F.when(~fresh & wait, field).otherwise("").alias("old"))
-
+    Records are matched one after another within their row, in time that grows with the listing; an unknown letter gives kind
+    null, which normalising refuses, and fields at the end that make no whole record are left out."""
+    field, gap = r"[^\x00]++", r"\x00++"
+    record = rf"\G\x00*+(?:[RC][^\x00]*+{gap}{field}{gap}{field}|[^RC\x00][^\x00]*+{gap}{field})"
+    each = rows.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(record), F.lit(0))).alias("r"))
+    each = each.select(F.filter(F.split("r", "\0"), lambda x: x != "").alias("f"))
+    three = F.size("f") == 3
+    changes = each.select(F.get("f", F.lit(0)).alias("letter"), F.when(three, F.get("f", F.lit(2))).otherwise(F.get("f", F.lit(1))).alias("path"), F.when(three, F.get("f", F.lit(1))).alias("old_path"))
     one = F.substring("letter", 1, 1)
     kind = F.when(one == "R", "RENAMED").when(one == "C", "ADDED")
     for letter, name in LETTERS.items():
         kind = kind.when(one == letter, name)
-    changes = rows.select(F.explode(F.aggregate(fields, start, step)["done"]).alias("c")).select("c.*")
     return changes.select("path", F.when(one == "R", F.col("old_path")).alias("old_path"), kind.alias("kind"))
 
 
