@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Documents of a block; scores closer than this are settled by the rounding of the merge, so bounds keep that distance.
 BLOCK, SLACK = 4096, 1e-8
+#: Documents whose tokens are counted at a time.
+PIECE = 500
 
 
 class Queries:
@@ -76,7 +78,7 @@ def counted(numbers: dict[str, int]):
     """Rows (key, tokens) as key, number of tokens, numbers of known terms and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(at, PIECE) for batch in batches for at in range(0, len(batch), PIECE)):
             lists = b.column(1)
             size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             coded = lists.flatten().dictionary_encode()
@@ -114,7 +116,7 @@ def ranked(queries, idf: np.ndarray, mean: float, k: int, k1: float, b: float):
                 if len(at):
                     tops[q] = sorted([*top, *((-round(s, 9), keys[i], s) for i, s in zip(at.tolist(), score.tolist()))])[:k]
 
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, len(b), BLOCK)):
             held.append(batch)
             kind = batch.schema.field("key").type
             if sum(map(len, held)) >= BLOCK:

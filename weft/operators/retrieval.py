@@ -14,6 +14,7 @@ from weft.functions import vectors
 from weft.operators import ranking
 from weft.operators.graph import cut
 from weft.operators.validate import valid_source_ref
+from weft.sources.tables import small_batches
 
 #: Weights of the strategies, BM25's parameters, scores of graph seeds and their neighbours.
 WEIGHTS = {"SYMBOL": 0.35, "KEYWORD": 0.25, "SEMANTIC": 0.25, "GRAPH": 0.15}
@@ -122,6 +123,7 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "
     numbers = {t: i for i, t in enumerate(terms)}
     sent = spark.sparkContext.broadcast(ranking.Queries(told.column("query_id").to_pylist(), [np.array(sorted(numbers[t] for t in x), np.int64) for x in told.column("terms").to_pylist()]))
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(spark)  # a batch of tokens, and what is made of it, is in memory whole
     counts = docs.select(F.col(key).alias("key"), F.coalesce(words, F.array().cast("array<string>")).alias("tokens")).mapInArrow(ranking.counted(numbers), f"key {kind}, len long, terms array<int>, counts array<int>")
     counts = cut(counts)
     n, mean = counts.agg(F.count("*"), F.greatest(F.coalesce(F.avg("len"), F.lit(0.0)), F.lit(1e-9))).first()
