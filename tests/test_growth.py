@@ -12,7 +12,10 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.operators import changes as C
 from weft.operators import graph as G
+from weft.operators import ranking
+from weft.operators import structure as S
 from weft.sources.tables import spread, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,3 +95,35 @@ def test_a_projection_that_is_pruned_is_not_cut_first(spark, tmp_path):
 def test_all_induced_edges_are_told(spark, tmp_path):
     folder = repeated(tmp_path, 700, {"customer": {"c_custkey": 1_000_000}, "orders": {"o_orderkey": 10_000_000, "o_custkey": 1_000_000}})
     assert held_against_sql(spark, folder, "graph_induced_edges") > 50_000
+
+
+def test_outlines_are_made_a_few_files_at_a_time(spark):
+    files = spark.range(450).select(F.concat(F.lit("src/f"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit("class A(B):\n    async def f(self):\n        g(1)\n").alias("content"), F.lit("python").alias("parser"))
+    found = S.parsed(files)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # no data frame of nested objects
+    got = {r.path: r for r in found.collect()}
+    one = S.PARSERS["python"]("src/f7.py", files.first().content, None)
+    assert len(got) == 450 and [a.asDict(True) for a in got["src/f7.py"].artifacts] == one.artifacts and [r.asDict(True) for r in got["src/f7.py"].relations] == one.relations
+
+
+def test_listings_are_decoded_in_one_pass(spark):
+    long = "".join(f"M\0p{i}\0" for i in range(20_000))
+    listings = [long, "\0M\0a\0\0R100\0old\0new\0C75\0x\0y\0D\0z\0X\0q\0", "R100\0old", "R100\0old\0", "M", "", None, "A\0R1\0T\0b", "R\0M\0D\0A\0é\0\0"]
+    want = []
+    for fields in ([f for f in (x or "").split("\0") if f] for x in listings):
+        while len(fields) >= (3 if fields and fields[0][0] in "RC" else 2):
+            n = 3 if fields[0][0] in "RC" else 2
+            kind = {"R": "RENAMED", "C": "ADDED", **C.LETTERS}.get(fields[0][0])
+            want.append((fields[n - 1], fields[1] if fields[0][0] == "R" else None, kind))
+            fields = fields[n:]
+    found = C.decode_listing(spark.createDataFrame([(x,) for x in listings], "listing string"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # a fold copies what it holds at each step
+
+
+def test_tokens_are_counted_a_few_documents_at_a_time():
+    tokens = pa.array([["a", "b", "a"]] * 1200 + [None], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1201)), tokens], ["key", "tokens"])
+    got = list(ranking.counted({"a": 0, "c": 1})(iter([batch])))
+    assert max(map(len, got)) <= 500 and sum(map(len, got)) == 1201
+    assert pa.Table.from_batches(got).column("counts").to_pylist() == [[2]] * 1200 + [[]]
