@@ -127,3 +127,8 @@ def test_tokens_are_counted_a_few_documents_at_a_time():
     got = list(ranking.counted({"a": 0, "c": 1})(iter([batch])))
     assert max(map(len, got)) <= 500 and sum(map(len, got)) == 1201
     assert pa.Table.from_batches(got).column("counts").to_pylist() == [[2]] * 1200 + [[]]
+
+
+def test_changes_of_a_proposal_are_made_once(spark):
+    plan = entry.queries()["qa_proposal_problems"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1  # their stale hashes are told in the same pass

@@ -49,8 +49,16 @@ def problems(proposals: DataFrame, files: DataFrame | None = None, most_changes:
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     each = proposals.select("proposal_id", "base_commit_sha", F.posexplode("file_changes").alias("at", "c")).select("proposal_id", "base_commit_sha", "at", "c.*").withColumn("clean", cleaned(F.coalesce("path", F.lit(""))))
     each = each.withColumn("problem", change_problem(F.col("path"), F.col("base_content_hash"), F.col("unified_diff"), F.col("clean")))
+    each = each.select("proposal_id", "base_commit_sha", "at", "clean", "problem", F.octet_length("unified_diff").cast("long").alias("bytes"), F.col("base_content_hash").alias("base"))
+    stale = F.lit(None).cast("string")
+    if files is not None:  # met here, so that changes are made once
+        known = files.select(F.col("base_commit_sha"), F.col("path").alias("clean"), "content_hash").dropDuplicates(["base_commit_sha", "clean"])
+        each = each.join(known, ["base_commit_sha", "clean"], "left")
+        differs = ~F.col("base").eqNullSafe(F.col("content_hash"))
+        unknown = F.max((differs & F.col("content_hash").isNull()).cast("int")) == 1
+        stale = F.when(unknown, "unknown file").when(F.max(differs.cast("int")) == 1, "stale base hash")
     bad = F.col("problem").isNotNull()
-    sums = each.groupBy("proposal_id").agg(F.count("*").alias("_changes"), F.count_distinct("clean").alias("_paths"), F.sum(F.octet_length("unified_diff").cast("long")).alias("_bytes"), F.min_by(F.when(bad, F.col("problem")), F.when(bad, F.col("at"))).alias("_first"))
+    sums = each.groupBy("proposal_id").agg(F.count("*").alias("_changes"), F.size(F.collect_set("clean")).cast("long").alias("_paths"), F.sum("bytes").alias("_bytes"), F.min_by(F.when(bad, F.col("problem")), F.when(bad, F.col("at"))).alias("_first"), stale.alias("_stale"))
     rows = proposals.join(sums, "proposal_id", "left")
     changes, explains, first = F.coalesce("_changes", F.lit(0)), F.col("intent") == "EXPLAIN", F.col("_first")
     cited = F.coalesce(F.size("citations"), F.lit(0))
@@ -69,11 +77,4 @@ def problems(proposals: DataFrame, files: DataFrame | None = None, most_changes:
         .when(F.exists("citations", unsound), "citation")
         .when(F.exists("citations", lambda c: c["commit_sha"] != F.col("base_commit_sha")), "citation of another commit")
     )
-    out = rows.withColumn("reason", reason).drop("_changes", "_paths", "_bytes", "_first")
-    if files is None:
-        return out
-    each = each.select("proposal_id", "base_commit_sha", F.col("clean").alias("path"), F.col("base_content_hash").alias("base"))
-    known = files.select("base_commit_sha", "path", "content_hash").dropDuplicates(["base_commit_sha", "path"])
-    stale = each.join(known, ["base_commit_sha", "path"], "left").where(~F.col("base").eqNullSafe(F.col("content_hash")))
-    told = stale.groupBy("proposal_id").agg(F.when(F.max(F.col("content_hash").isNull().cast("int")) == 1, "unknown file").otherwise("stale base hash").alias("stale"))
-    return out.join(told, "proposal_id", "left").withColumn("reason", F.coalesce("reason", "stale")).drop("stale")
+    return rows.withColumn("reason", F.coalesce(reason, F.col("_stale"))).drop("_changes", "_paths", "_bytes", "_first", "_stale")
