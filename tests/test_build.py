@@ -142,3 +142,26 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         G.shared_dir(Session())
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_relations_are_classified_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    relations = spark.createDataFrame(RELATIONS, RELATION).withColumn("confidence", F.udf(told, "double")("confidence"))
+    job = B.Job("t", "r", "s", "rev1", "c", len(ARTIFACTS), len(RELATIONS))
+    entry = B.build(spark.createDataFrame(ARTIFACTS, ARTIFACT), relations, f"file://{tmp_path}/g", job, FREE)
+    assert entry["edges"] == 4 and seen.value <= 2 * len(RELATIONS)  # a second time at most for the joins of candidates
+    assert sorted(x.name for x in next((tmp_path / "g/revisions/rev1").iterdir()).iterdir() if x.is_dir()) == ["edges", "nodes", "quarantine", "relations"]
+
+
+def test_integrity_of_odd_ids(spark):
+    a, b = "node_" + "0a" * 12, "issue_" + "0a" * 12
+    nodes = [(x,) for x in (a, a, b, None, None, "", a.upper(), a + "\n", "x")]
+    edges = [("edge_" + "1" * 24, a, b), ("edge_" + "1" * 24, "node_" + "0A" * 12, None), ("e", a.upper(), a + "\n"), ("e", "", "\0x"), (None, "x", "\0" + a), (None, "gone", a[5:])]
+    found = G.integrity(spark.createDataFrame(nodes, "node_id string"), spark.createDataFrame(edges, "edge_id string, from_node_id string, to_node_id string"))
+    assert found.first().asDict() == {"from_missing": 2, "to_missing": 4, "node_id_repeated": 2, "edge_id_repeated": 3}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the two rows of counts; ends meet in one grouping

@@ -2,7 +2,9 @@
 
 Bad rows are quarantined and counted; broken parser data (rows without identity, counts or commits other than declared,
 resolved relations without a target) and data beyond capacity refuse the whole build; so does quality below the policy.
-Each table is written by one Spark job; what reaches the driver is counts. A refused build activates nothing.
+Each table is written by one Spark job; what reaches the driver is counts. Classified relations are written once, and all that
+is told of them is read there; that copy goes when the quarantine and the sound relations are written. A refused build
+activates nothing.
 """
 
 from __future__ import annotations
@@ -124,7 +126,7 @@ def build(artifacts: DataFrame, relations: DataFrame, root: str, job: Job, limit
         raise revisions.Conflict(f"{(now or {}).get('revision_id')} is active, not {job.parent}")
     folder = revisions.attempt(root, job.revision_id)
     scope = [F.lit(getattr(job, c)).alias(c) for c in ("tenant_id", "repository_id", "snapshot_id", "revision_id")]
-    write = lambda rows, name: rows.select(*scope, "*").write.parquet(f"{folder}/{name}")
+    write = lambda rows, name: rows.select(*scope, "*").write.option("compression", "zstd").parquet(f"{folder}/{name}")
 
     first = validate.classify_artifacts(artifacts)
     symbol = F.col("source_ref.symbol_id")
@@ -135,7 +137,8 @@ def build(artifacts: DataFrame, relations: DataFrame, root: str, job: Job, limit
     write(bad.select(F.lit("artifact").alias("record_type"), F.col("artifact_id").alias("record_id"), "error_code"), "quarantine/artifacts")
     bad = spark.read.parquet(f"{folder}/quarantine/artifacts").select(F.col("record_id").alias("artifact_id"))
 
-    second = validate.classify_relations(relations, bad)
+    validate.classify_relations(relations, bad).write.option("compression", "zstd").parquet(f"{folder}/classified")
+    second = spark.read.parquet(f"{folder}/classified")
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
     hard = blank("relation_id") | blank("from_ref") | F.coalesce((F.col("status") == "RESOLVED") & (blank("to_ref") | ~blank("external_identity") | ~none("candidates")), F.lit(False))
     r = checked(second, "relation_id", hard, F.size("candidates"), F.col("evidence.commit_sha"), job)
@@ -144,6 +147,7 @@ def build(artifacts: DataFrame, relations: DataFrame, root: str, job: Job, limit
     write(unsound.select(F.lit("relation").alias("record_type"), F.col("relation_id").alias("record_id"), "error_code"), "quarantine/relations")
     write(sound, "relations")
     sound = spark.read.parquet(f"{folder}/relations")
+    revisions.remove(spark, f"{folder}/classified")
 
     node = lambda rows, kind, ident, artifact, name: rows.select(ident.alias("node_id"), kind.alias("entity_type"), artifact.alias("artifact_id"), name.alias("name"))
     no_one = F.lit(None).cast("string")

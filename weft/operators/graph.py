@@ -188,14 +188,23 @@ def diagnostics(edges: DataFrame, nodes: DataFrame, roots: list[str], candidates
     return rows.join(named, "issue_id", "left").orderBy("issue_id")
 
 
+def packed(ident: Column) -> Column:
+    """An id in fewer bytes: the letters before 24 hex digits, a NUL byte and the digits' 12 bytes; other ids as they are, after
+    a NUL byte. Different ids stay different."""
+    short = F.concat(F.regexp_extract(ident, "^[a-z]+", 0).cast("binary"), F.lit(b"\0"), F.unhex(F.substring(ident, -24, 24)))
+    return F.when(ident.rlike(r"^[a-z]+_[0-9a-f]{24}\z"), short).when(ident.isNotNull(), F.concat(F.lit(b"\0"), ident.cast("binary")))
+
+
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: edges whose source or target is no node, repeated node ids, repeated edge ids."""
-    ids = nodes.select("node_id")
-    loose = lambda c: edges.select(F.col(c).alias("node_id")).join(ids, "node_id", "left_anti").agg(F.count("*").alias(c.replace("_node_id", "_missing")))
-    twice = lambda df, c: df.groupBy(c).count().where("count > 1").agg(F.count("*").alias(f"{c}_repeated"))
-    out = loose("from_node_id")
-    for other in (loose("to_node_id"), twice(nodes, "node_id"), twice(edges, "edge_id")):
-        out = out.crossJoin(F.broadcast(other))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    end = lambda table, c, **n: table.select(packed(F.col(c)).alias("id"), *(n.get(k, zero).alias(k) for k in ("node", "source", "target")))
+    ends = end(nodes, "node_id", node=one).union(end(edges, "from_node_id", source=one)).union(end(edges, "to_node_id", target=one))
+    each = ends.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("node", "source", "target")))
+    missing = lambda c: F.coalesce(F.sum(F.when(F.col("id").isNull() | (F.col("node") == 0), F.col(c))), zero)
+    out = each.agg(missing("source").alias("from_missing"), missing("target").alias("to_missing"), F.count_if(F.col("node") > 1).alias("node_id_repeated"))
+    twice = edges.groupBy(packed(F.col("edge_id"))).count().where("count > 1").agg(F.count("*").alias("edge_id_repeated"))
+    out = out.crossJoin(F.broadcast(twice))
     return out
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.graph import cut
+
 #: Kinds, and codes in the order in which they are tried.
 ARTIFACT_KINDS = ["FILE", "MODULE", "CLASS", "INTERFACE", "FUNCTION", "METHOD", "IMPORT", "CONFIG", "DOCUMENT"]
 RELATION_KINDS = ["CONTAINS", "CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON"]
 SAMPLE = 20
+#: Bytes of relations with a refused candidate that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 * 1024**2
 JOB_TRANSITIONS = [("PENDING", "BUILDING"), ("PENDING", "CANCELLED"), ("PENDING", "FAILED"), ("BUILDING", "SUCCEEDED"), ("BUILDING", "FAILED"), ("BUILDING", "CANCELLED")]
 ATTEMPT_TRANSITIONS = [("RUNNING", "SUCCEEDED"), ("RUNNING", "FAILED"), ("RUNNING", "LOST"), ("RUNNING", "CANCELLED")]
 CANDIDATE_TRANSITIONS = [("STAGING", "SEALED"), ("STAGING", "FAILED")]
@@ -44,8 +48,10 @@ def classify_relations(relations: DataFrame, invalid: DataFrame) -> DataFrame:
     confidence = F.col("confidence").cast("double")
     more = F.when(F.lit(False), "")
     if "candidates" in has:
-        each = relations.select("from_ref", "to_ref", "kind", "candidates").distinct().withColumn("candidate", F.explode("candidates")).join(bad, F.col("candidate") == F.col("bad_id"), "left_semi")
-        hit = each.select(F.col("from_ref").alias("hit_from"), F.col("to_ref").alias("hit_to"), F.col("kind").alias("hit_kind"), F.col("candidates").alias("hit_candidates")).distinct()
+        each = relations.select("from_ref", "to_ref", "kind", "candidates").withColumn("candidate", F.explode("candidates")).join(bad, F.col("candidate") == F.col("bad_id"), "left_semi")
+        hit = cut(each.select(F.col("from_ref").alias("hit_from"), F.col("to_ref").alias("hit_to"), F.col("kind").alias("hit_kind"), F.col("candidates").alias("hit_candidates")).distinct())
+        if (hit.agg(F.sum(F.octet_length(F.to_json(F.struct(*hit.columns))).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
+            hit = F.broadcast(hit)  # so that rows with all they carry are not shuffled
         rows = rows.join(hit, F.col("from_ref").eqNullSafe(F.col("hit_from")) & F.col("to_ref").eqNullSafe(F.col("hit_to")) & F.col("kind").eqNullSafe(F.col("hit_kind")) & F.col("candidates").eqNullSafe(F.col("hit_candidates")), "left")
         isolated = isolated | (F.col("hit_candidates").isNotNull() & is_now("AMBIGUOUS"))
     if "status" in has:

@@ -40,6 +40,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(hadoop.Path(path)) if s.isDirectory()]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads again."""
+    hadoop, fs, _ = _context(spark, path)
+    fs.delete(hadoop.Path(path), True)
+
+
 def put_new(spark: SparkSession, path: str, text: str) -> bool:
     """Make a file appear whole; False if there is one of that name already."""
     hadoop, fs, context = _context(spark, path)
