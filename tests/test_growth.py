@@ -106,6 +106,22 @@ def test_outlines_are_made_a_few_files_at_a_time(spark):
     assert len(got) == 450 and [a.asDict(True) for a in got["src/f7.py"].artifacts] == one.artifacts and [r.asDict(True) for r in got["src/f7.py"].relations] == one.relations
 
 
+def test_outlines_are_listed_without_nested_rows(spark):
+    one = "class A(B):\n    def f(self):\n        self.f()\n        self.é()\n    def f(self):\n        pass\n"
+    rows = [("a.py", one, "python"), ("b.py", "def f(\n", "python"), ("c.zz", "x", "none"), ("d.py", None, "python"), ("e.rs", "fn a() { b(); }\nfn b() {}", "rust"), ("f.go", None, "go")]
+    found = S.listed(spark.createDataFrame(rows, "path string, content string, parser string"))
+    want = []
+    for path, content, name in (rows[0], rows[3], rows[4]):
+        out = S.PARSERS[name](path, content or "", None)
+        names = {a["artifact_id"]: a["qualified_name"] for a in out.artifacts}
+        want += [(path, a["kind"], a["qualified_name"], None, a["source_ref"]["start_line"], a["source_ref"]["end_line"]) for a in out.artifacts]
+        want += [(path, r["kind"], names[r["from_id"]], names.get(r["to_ref"], r["to_ref"]), *[r["evidence"]["start_line"]] * 2) for r in out.relations]
+    assert len(want) > 12 and sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    for language in ("typescript", "python", "rust"):
+        plan = entry.queries()[f"extract_structure_{language}"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "relation_id" not in plan  # hashes that no column asks for are not made
+
+
 def test_listings_are_decoded_in_one_pass(spark):
     long = "".join(f"M\0p{i}\0" for i in range(20_000))
     listings = [long, "\0M\0a\0\0R100\0old\0new\0C75\0x\0y\0D\0z\0X\0q\0", "R100\0old", "R100\0old\0", "M", "", None, "A\0R1\0T\0b", "R\0M\0D\0A\0é\0\0"]

@@ -47,12 +47,7 @@ def sources(spark, sf_dir, language: str):
 
 def outline(spark, sf_dir, language: str):
     """path, kind, name, target, first and last line: artifacts (without a target), and relations by qualified names."""
-    found = S.parsed(sources(spark, sf_dir, language))
-    names = F.map_from_arrays("artifacts.artifact_id", "artifacts.qualified_name")
-    row = lambda kind, name, target, first, last: F.struct(kind.alias("kind"), name.alias("name"), target.alias("target"), first.alias("first"), last.alias("last"))
-    parts = F.transform("artifacts", lambda a: row(a["kind"], a["qualified_name"], F.lit(None).cast("string"), a["source_ref"]["start_line"], a["source_ref"]["end_line"]))
-    links = F.transform("relations", lambda r: row(r["kind"], F.col("names")[r["from_id"]], F.coalesce(F.try_element_at("names", r["to_ref"]), r["to_ref"]), r["evidence"]["start_line"], r["evidence"]["start_line"]))
-    return found.withColumn("names", names).select("path", F.explode(F.concat(parts, links)).alias("e")).select("path", "e.*")
+    return S.listed(sources(spark, sf_dir, language))
 
 
 def oracle(language: str) -> str:
