@@ -103,6 +103,21 @@ def test_scores_are_those_of_the_definition(spark, tiers):
         assert sum(10 ** tree.log(context, x) for x in tree.counts) + 10 ** tree.log(context, b"unknown") == pytest.approx(1)
 
 
+def test_contexts_that_are_rare_in_a_row_are_not_counted(spark, monkeypatch):
+    own, sums = suffix_tree.windows, {}
+
+    def told(texts, level, bitmap):
+        found = own(texts, level, bitmap)
+        sums[level] = [r["sum(n)"] for r in found.groupBy(*suffix_tree.context_columns(level)).sum("n").collect()]
+        return found
+
+    monkeypatch.setattr(suffix_tree, "windows", told)
+    docs = spark.createDataFrame(list(zip(*reversed(corpus()))), "doc_id long, text string").repartition(3)
+    suffix_tree.scored(docs)
+    print({k: (len(v), sum(n < LEAST for n in v)) for k, v in sums.items()})
+    assert len(sums[3]) > 50 and sum(n < LEAST for n in sums[3]) < 0.2 * len(sums[3])
+
+
 def test_rows_without_ids_equal_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(0, "a b"), (0, "a b"), (None, "a c"), (2, None)], "doc_id long, text string")
     rows = suffix_tree.scored(docs).collect()
