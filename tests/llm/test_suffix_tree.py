@@ -155,3 +155,40 @@ def test_contexts_earn_their_place_on_held_out_texts(spark):
     perplexity = 10 ** (-rows.s / rows.n)
     print("held-out perplexity", perplexity)
     assert perplexity < math.sqrt(6493 * 2844)
+
+
+def test_pairs_of_words_that_are_rare_are_shuffled_in_few_bytes(spark, monkeypatch):
+    """Most pairs of a corpus are rare; rows of three longs took about eleven bytes a pair in the shuffle."""
+    own, told = suffix_tree.windows, {}
+
+    def kept(texts, level, bitmap):
+        found = own(texts, level, bitmap)
+        if level == 1:
+            told["sent"] = suffix_tree.occurrences(texts, level, bitmap, 8).selectExpr("sum(size)", "sum(octet_length(rows))").first()
+            told["rare"] = found.where(f"n < {LEAST}").count()
+        return found
+
+    monkeypatch.setattr(suffix_tree, "windows", kept)
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(1500)}" for _ in range(100))) for i in range(2500)], "doc_id long, text string").repartition(2)
+    suffix_tree.scored(docs)
+    (size, sent), rare = told["sent"], told["rare"]
+    print(size, sent, rare)
+    assert size > 100_000 and sent < 5 * size and rare == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_rows_of_symbols_are_summed_and_come_back(width):
+    rng = np.random.default_rng(width)
+    symbols = np.concatenate([np.arange(50), rng.integers(-(2**63), 0, 40), [suffix_tree.OTHER, suffix_tree.RARE, 199_999]])
+    for many in (1, 2, 3000):
+        columns = [rng.choice(symbols, many) for _ in range(width)]
+        times = rng.integers(1, 5, many)
+        for n in (None, times):
+            want = collections.Counter()
+            for row, k in zip(zip(*(c.tolist() for c in columns)), [1] * many if n is None else n.tolist()):
+                want[row] += k
+            rows, sums = suffix_tree.summed(columns, n)
+            assert dict(zip(zip(*(c.tolist() for c in rows)), sums.tolist())) == want and len(sums) == len(want)
+            again = suffix_tree.unsqueezed(suffix_tree.squeezed([*rows, sums]), width + 1, len(sums))
+            assert [c.tolist() for c in again] == [c.tolist() for c in (*rows, sums)]
