@@ -39,6 +39,22 @@ def test_candidates_of_a_hot_name_are_dealt_over_tasks(spark):
     assert pairs.groupBy(F.spark_partition_id()).count().count() > 1
 
 
+def test_what_candidates_shuffle_grows_with_rows_not_pairs(spark):
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    def shuffled(n: int) -> int:
+        symbols = spark.range(10 * n).select(F.lit("hot").alias("name"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("artifact_id"))
+        relations = spark.range(n).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("relation_id"), F.lit("symbol:hot").alias("to_ref"))
+        before = written()
+        assert G.candidates_of(relations, symbols).count() == 10 * n * n
+        return written() - before
+
+    assert shuffled(4000) < 5 * shuffled(1000)  # 16 times the pairs
+
+
 def test_features_are_counted_where_their_row_lies(spark):
     rows = spark.createDataFrame([(1, ["ab", "cde", "ab"]), (2, []), (3, None), (4, ["é😀x", "y" * 40]), (5, ["the"] * 3), (5, ["cat", "the"])], "k long, tokens array<string>")
     for dimensions in (32, 256):
